@@ -31,7 +31,9 @@ MAGIC = b"CFBITS01"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
 SHARD_IDS = 1 << 23
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Signs that the pre-tokenizer parts from letters before them.
+TAILS = ".,;:!?$%&*#)]}\"'|-"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -56,31 +58,73 @@ class Encoder:
     """Ids of whole texts as little-endian u32 bytes.
 
     The tokenizer's pre-tokenizer never joins across a blank, so a text's ids are its words' ids in a row; ids of
-    words seen before come from a bounded cache, and only new words reach the tokenizer (in one batch).
+    words seen before come from a bounded cache. It also parts letters from the signs that follow and lower-cases, so
+    a new word is looked up again without its tail. New words of letters only are one pre-token each, whose last piece
+    carries the end-of-word mark: many of them are encoded as one text, and the marks part their ids.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith("</w>")
         self.cache: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        cache = self.cache
-        new = {w for ws in words for w in ws if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache = self.cache = {"": b""}
+        new = {w for ws in words for w in ws if w not in self.cache}
+        if len(self.cache) + 2 * len(new) > CACHE_WORDS and len(self.cache) > 1:
+            self.cache = {"": b""}
             new = {w for ws in words for w in ws}
-        new = list(new)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
+        self.learn(new)
+        cache = self.cache
+        return [b"".join([cache[w] for w in ws]) for ws in words]
+
+    def learn(self, new: set[str]) -> None:
+        cache, whole, letters, later = self.cache, [], set(), []
+        for w in new:
+            if "<|" in w:  # may be a special token
+                whole.append(w)
+                continue
+            core = w.rstrip(TAILS)
+            if not core.isalpha():
+                whole.append(w)
+                continue
+            tail = w[len(core) :]
+            low = core.lower() if core.isascii() else core
+            if low not in cache:
+                letters.add(low)
+            if tail and tail not in cache:
+                whole.append(tail)
+            if low != w:
+                later.append((w, low, tail))
+        whole = list(dict.fromkeys(whole))
+        rest = sorted(letters)
+        for at in range(0, len(rest), 2048):
+            part = rest[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or len(ids) != (stops[-1] if len(stops) else 0):
+                whole += part  # signs that the tokenizer sees otherwise than Python
+                continue
+            data, stops = ids.tobytes(), [0, *(4 * stops).tolist()]
+            cache.update((w, data[stops[i] : stops[i + 1]]) for i, w in enumerate(part))
+        for at in range(0, len(whole), 2048):
+            part = whole[at : at + 2048]
             got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             cache.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        return [b"".join([cache[w] for w in ws]) for ws in words]
+        cache.update((w, cache[low] + cache[tail]) for w, low, tail in later)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its cache outlives a task."""
+    return Encoder(path)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, at_a_time: int = 512) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids as u32 bytes) of each row of Arrow batches with doc_id and text; a null text is empty."""
-    encode = Encoder(path)
+    encode = encoder(path)
     for batch in batches:
         for at in range(0, batch.num_rows, at_a_time):
             part = batch.slice(at, at_a_time)
@@ -219,22 +263,24 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the shard files."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bits").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(manifest, "name")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    kinds = (pa.string(), *[pa.int64()] * 4)
+    names = ["name", "doc_id", "inside", "n_tokens", "ids_crc32"]
 
     def read(batches):
         for batch in batches:
-            for data, first in zip(batch.column("content"), batch.column("first").to_pylist(), strict=True):
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 shard = Shard(data.as_py())
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
                 for i, doc_id in enumerate(shard.doc_ids):
                     ids = shard.document(i)
-                    for col, v in zip(out, (doc_id, first + int(shard.starts[i]), len(ids), zlib.crc32(ids.tobytes())), strict=True):
+                    for col, v in zip(out, (name, doc_id, int(shard.starts[i]), len(ids), zlib.crc32(ids.tobytes())), strict=True):
                         col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return files.select("content", "first").mapInArrow(read, schema)
+    rows = files.mapInArrow(read, "name string, doc_id long, inside long, n_tokens long, ids_crc32 long").join(manifest, "name")
+    return rows.select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
