@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .language import op1_language_id
+from .mixing import op10_curriculum_mix
+from .packing import op7_best_fit_packing
 from .tokens import op2_token_files
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_curriculum_mix": op10_curriculum_mix,
 }
 
 ORACLES: dict[str, str] = {}
