@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, shuffle_width, table
+from .words import Recent, chunks, split_words
 
 END_ID = 2
 MAGIC = b"CFBITS01"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
 SHARD_IDS = 1 << 23
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Signs that the pre-tokenizer parts from letters before them.
 TAILS = ".,;:!?$%&*#)]}\"'|-"
 
@@ -68,52 +69,48 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = {w for ws in words for w in ws if w not in self.cache}
-        if len(self.cache) + 2 * len(new) > CACHE_WORDS and len(self.cache) > 1:
-            self.cache = {"": b""}
-            new = {w for ws in words for w in ws}
-        self.learn(new)
-        cache = self.cache
-        return [b"".join([cache[w] for w in ws]) for ws in words]
-
-    def learn(self, new: set[str]) -> None:
-        cache, whole, letters, later = self.cache, [], set(), []
+        self.cache = Recent(CACHE_WORDS)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds, ids): the ids of text i are ids[bounds[i]:bounds[i + 1]]; a null text is empty."""
+        docs, places, words = split_words(texts, "\n ")
+        data, new = self.cache.find(words)
+        if new:
+            self.learn(new)
+            data = self.cache.fill(words, data)
+        sizes = np.array([len(d) // 4 for d in data], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        lengths = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(begins[places] - ends[:-1], lengths) + np.arange(ends[-1])
+        return ends[docs], np.frombuffer(b"".join(data), "<u4")[at]
+
+    def learn(self, new: list[str]) -> None:
+        cores, tails = [], []
         for w in new:
-            if "<|" in w:  # may be a special token
-                whole.append(w)
-                continue
             core = w.rstrip(TAILS)
-            if not core.isalpha():
-                whole.append(w)
-                continue
-            tail = w[len(core) :]
-            low = core.lower() if core.isascii() else core
-            if low not in cache:
-                letters.add(low)
-            if tail and tail not in cache:
-                whole.append(tail)
-            if low != w:
-                later.append((w, low, tail))
-        whole = list(dict.fromkeys(whole))
-        rest = sorted(letters)
-        for at in range(0, len(rest), 2048):
-            part = rest[at : at + 2048]
+            if "<|" in w or not core.isalpha():  # may be a special token, or more than letters
+                core = w
+            cores.append(core.lower() if core.isascii() else core)
+            tails.append(w[len(core) :])
+        asked = list({*cores, *tails})
+        _, missing = self.cache.find(asked)
+        letters, whole = [w for w in missing if w.isalpha()], [w for w in missing if not w.isalpha()]
+        known = self.cache.young
+        for at in range(0, len(letters), 2048):
+            part = letters[at : at + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or len(ids) != (stops[-1] if len(stops) else 0):
                 whole += part  # signs that the tokenizer sees otherwise than Python
                 continue
-            data, stops = ids.tobytes(), [0, *(4 * stops).tolist()]
-            cache.update((w, data[stops[i] : stops[i + 1]]) for i, w in enumerate(part))
+            data, stops = ids.tobytes(), (4 * stops).tolist()
+            known.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
         for at in range(0, len(whole), 2048):
             part = whole[at : at + 2048]
             got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            cache.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        cache.update((w, cache[low] + cache[tail]) for w, low, tail in later)
+            known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+        known.update((w, known[c] + known[t] if t else known[c]) for w, c, t in zip(new, cores, tails, strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -122,13 +119,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, at_a_time: int = 512) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids as u32 bytes) of each row of Arrow batches with doc_id and text; a null text is empty."""
     encode = encoder(path)
-    for batch in batches:
-        for at in range(0, batch.num_rows, at_a_time):
-            part = batch.slice(at, at_a_time)
-            yield from zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True)
+    for part in chunks(batches):
+        bounds, ids = encode(part.column("text"))
+        data, bounds = ids.tobytes(), (4 * bounds).tolist()
+        for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+            yield doc_id, data[bounds[i] : bounds[i + 1]]
 
 
 def width_of(vocabulary: int) -> int:
