@@ -29,7 +29,7 @@ from .tokens import encoded, tokenizer_path
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
-NODES = 20_000
+NODES = 8_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), lengths descending
 
@@ -75,45 +75,49 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pat
     return [x for found in groups.values() for x in found]
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], least: int, limit: int) -> list[Pattern]:
-    """Undominated fillings of the room, fullest first: none can swap in a longer piece or take one more.
+def fillings(room: int, lengths: list[int], first: int, counts: dict[int, int], least: int, limit: int) -> list[Pattern]:
+    """Undominated fillings of the room with pieces of lengths[first:], fullest first.
 
-    least: the smallest sum that is of use. limit: how many are gathered for one node of the search.
+    Dominated: some piece could be swapped for a longer one, or one more fits. least: the smallest sum that is of use.
+    limit: how many are gathered for one node of the search; the first without waste dominates all others.
     """
     found: dict[int, list[Pattern]] = {}
-    steps = limit * 40
+    steps, held = limit * 40, 0
 
     def go(i: int, left: int, pattern: Pattern) -> None:
-        nonlocal steps
+        nonlocal steps, held
         steps -= 1
         while i < len(lengths) and (lengths[i] > left or not counts[lengths[i]]):
             i += 1
-        if steps < 0 or sum(map(len, found.values())) >= limit:
+        if steps < 0 or held >= limit:
             return
-        if i == len(lengths):
+        if i == len(lengths) or not left:
             if room - left >= least:
                 found.setdefault(room - left, []).append(pattern)
+                held += 1
             return
         length = lengths[i]
         for times in range(min(left // length, counts[length]), -1, -1):
             go(i + 1, left - times * length, (*pattern, (length, times)) if times else pattern)
-            if found.get(room):
-                return  # a filling without waste dominates the others
+            if room in found:
+                return
 
-    go(0, room, ())
+    go(first, room, ())
 
     def dominated(p: Pattern) -> bool:
         used = dict(p)
         waste = room - sum(n * t for n, t in p)
-        return any(n <= waste and counts[n] > used.get(n, 0) for n in lengths) or any(
-            s < n <= s + waste and counts[n] > used.get(n, 0) for s in used for n in lengths
-        )
+        free = [n for n in lengths[first:] if n <= room and counts[n] > used.get(n, 0)] if waste else []
+        return any(n <= waste for n in free) or any(s < n <= s + waste for s in used for n in free)
 
-    return [p for total in sorted(found, reverse=True) for p in found[total] if not dominated(p)][:limit]
+    return [p for total in sorted(found, reverse=True) for p in found[total] if not dominated(p)]
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """Patterns and how often each is used, so that every counted piece has one place, in as few sequences as found."""
+    """Patterns and how often each is used, so that every counted piece has one place, in as few sequences as found.
+
+    Depth first with counts changed in place; a node's best-fit completion is tried as an incumbent now and then.
+    """
     counts = {int(n): int(c) for n, c in counts.items() if c}
     if any(n < 1 or n > capacity for n in counts):
         raise ValueError("a length is outside 1..capacity")
@@ -121,51 +125,46 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     total = sum(n * c for n, c in counts.items())
     bound = max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
     size = sum(t for _, t in best)
-    left_nodes = nodes
-
-    def search(counts: dict[int, int], waste: int, done: list[tuple[Pattern, int]]) -> bool:
-        nonlocal best, size, left_nodes
-        left_nodes -= 1
-        lengths = sorted((n for n, c in counts.items() if c), reverse=True)
-        used = sum(t for _, t in done)
-        if not lengths:
-            if used < size:
-                best, size = list(done), used
-            return size <= bound
-        rest = best_fit_decreasing({n: counts[n] for n in lengths}, capacity)
-        if used + sum(t for _, t in rest) < size:
-            best, size = [*done, *rest], used + sum(t for _, t in rest)
-        if size <= bound or left_nodes <= 0:
-            return True
+    lengths = sorted(counts, reverse=True)
+    path: list[tuple[Pattern, int]] = []
+    stack: list[list] = []  # for each open node: its fillings yet to try, its first length, waste and sequences so far
+    first, waste, used = 0, 0, 0
+    for node in range(nodes if size > bound else 0):
+        while first < len(lengths) and not counts[lengths[first]]:
+            first += 1
+        if first == len(lengths) or node % 64 == 0:
+            rest = best_fit_decreasing({n: c for n, c in counts.items() if c}, capacity)
+            if used + sum(t for _, t in rest) < size:
+                best, size = [*path, *rest], used + sum(t for _, t in rest)
+                if size <= bound:
+                    break
+        options: list[Pattern] = []
         spare = (size - 1) * capacity - total - waste  # waste that would still beat the incumbent
-        if spare < 0:
-            return False
-        top = lengths[0]
-        inner = dict(counts)
-        inner[top] -= 1
-        for filling in fillings(capacity - top, lengths, inner, capacity - top - spare, 8):
-            pattern = Counter(dict(filling))
-            pattern[top] += 1
-            lost = capacity - sum(n * t for n, t in pattern.items())
-            times = min(counts[n] // t for n, t in pattern.items())
-            if lost:
-                times = min(times, max(1, spare // lost))
-            after = dict(counts)
-            for n, t in pattern.items():
-                after[n] -= t * times
-            if search(after, waste + lost * times, [*done, (tuple(sorted(pattern.items(), reverse=True)), times)]):
-                return True
-        return False
-
-    if size > bound:
-        import sys
-
-        limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, 4 * capacity + 1000))
-        try:
-            search(counts, 0, [])
-        finally:
-            sys.setrecursionlimit(limit)
+        if first < len(lengths) and spare >= 0:
+            top = lengths[first]
+            counts[top] -= 1
+            options = fillings(capacity - top, lengths, first, counts, capacity - top - spare, 8)
+            counts[top] += 1
+        stack.append([options[::-1], first, waste, used])
+        while stack and not stack[-1][0]:  # nothing left to try here: go back
+            stack.pop()
+            if path:
+                pattern, times = path.pop()
+                for n, t in pattern:
+                    counts[n] += t * times
+        if not stack:
+            break
+        filling, (_, first, waste, used) = stack[-1][0].pop(), stack[-1]
+        pattern = Counter(dict(filling))
+        pattern[lengths[first]] += 1
+        lost = capacity - sum(n * t for n, t in pattern.items())
+        times = min(counts[n] // t for n, t in pattern.items())
+        if lost:
+            times = min(times, max(1, ((size - 1) * capacity - total - waste) // lost))
+        for n, t in pattern.items():
+            counts[n] -= t * times
+        path.append((tuple(sorted(pattern.items(), reverse=True)), times))
+        waste, used = waste + lost * times, used + times
     return best
 
 
