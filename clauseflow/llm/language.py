@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, table
+from .words import Recent, split_words
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words are cut into runs of at most so many letters; no letter is dropped.
@@ -30,7 +31,7 @@ SAMPLE_DOCS = 400
 SAMPLE_WORDS = 60_000
 ROUNDS = 4
 FLOOR = 1e-7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
 
@@ -42,13 +43,20 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> dict[str, int]:
-    """Lower-case pieces of letters, with the word-start mark where the vocabulary has it, up to PIECE signs."""
+    """Ids of lower-case pieces of letters, with the word-start mark where the vocabulary has it, up to PIECE signs.
+
+    Beginnings of pieces that are no pieces have -1, so that a search can stop where nothing goes on.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
     kept = sorted({p for p in pieces if len(p) <= PIECE and p == p.lower() and (p.lstrip("▁").isalpha() or p == "▁")})
-    return {p: i for i, p in enumerate(kept)}
+    return {p[:n]: -1 for p in kept for n in range(1, len(p))} | {p: i for i, p in enumerate(kept)}
+
+
+def pieces(vocab: dict[str, int]) -> int:
+    return 1 + max(vocab.values(), default=-1)
 
 
 def units(text: str | None) -> list[str]:
@@ -81,7 +89,9 @@ class Lattice:
                 alone = True
                 for j in range(i + 1, min(n, i + PIECE) + 1):
                     p = get(marked[i:j])
-                    if p is not None:
+                    if p is None:
+                        break  # no piece goes on like this
+                    if p >= 0:
                         word.append(w)
                         begin.append(i)
                         end.append(j)
@@ -106,7 +116,9 @@ class Lattice:
         for j in range(1, len(self.bounds) - 1):
             e = slice(self.bounds[j], self.bounds[j + 1])
             if e.start < e.stop:
-                np.add.at(alpha[:, j], self.word[e], alpha[self.word[e], self.begin[e]] * p[self.piece[e]])
+                more = alpha[self.word[e], self.begin[e]] * p[self.piece[e]]
+                for k in range(p.shape[1]):
+                    alpha[:, j, k] = np.bincount(self.word[e], more[:, k], len(alpha))
         return alpha
 
     def likelihood(self, p: np.ndarray) -> np.ndarray:
@@ -127,7 +139,7 @@ class Lattice:
 
 def fit_language(words: list[str], weight: np.ndarray, vocab: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from its words and their counts; the last is of a letter without a piece."""
-    size = len(vocab) + 1
+    size = pieces(vocab) + 1
     p = np.full((size, 1), 1 / size)
     for at_round in range(rounds):
         uses = np.zeros(size)
@@ -143,50 +155,57 @@ class LanguageModel:
     probabilities: np.ndarray  # [piece, language]
     path: str
 
-    def scorer(self):
-        return Scorer(self)
-
 
 class Scorer:
-    """Predicts texts; keeps the log-likelihoods of words seen before, a bounded number of them."""
+    """Predicts texts; the log-likelihoods of words and of blank-parted strings seen before come from bounded caches."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.vocab = model, vocabulary(model.path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.logs = np.zeros((1 << 16, len(self.model.languages)), np.float32)
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2048):
-            part = words[at : at + 2048]
-            found = np.log(np.maximum(Lattice.of(part, self.vocab).likelihood(self.model.probabilities), 1e-300))
-            need = len(self.rows) + len(part)
-            while need > len(self.logs):
-                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[len(self.rows) : need] = found
-            self.rows.update((w, len(self.rows)) for w in part)
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        parts = [units(t) for t in texts]
-        new = {w for ws in parts for w in ws if w not in self.rows}
-        if len(self.rows) + len(new) > CACHE_WORDS and self.rows:
-            self.forget()
-            new = {w for ws in parts for w in ws}
-        self.learn(sorted(new))
+        self.words, self.units = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+
+    def learn(self, new: list[str]) -> None:
+        split = [units(w) for w in new]
+        flat = list({u for us in split for u in us})
+        _, missing = self.units.find(flat)
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            logs = np.log(np.maximum(Lattice.of(part, self.vocab).likelihood(self.model.probabilities), 1e-300))
+            self.units.young.update(zip(part, np.column_stack([logs, np.ones(len(part))]), strict=True))
+        known, none = self.units.young, np.zeros(len(self.model.languages) + 1)
+        self.words.young.update(
+            (w, (known[us[0]] if len(us) == 1 else sum((known[u] for u in us), none)).astype("<f4").tobytes()) for w, us in zip(new, split, strict=True)
+        )
+
+    def __call__(self, texts: pa.Array) -> list[tuple[str, float]]:
+        bounds, ids, words = split_words(texts)
+        data, new = self.words.find(words)
+        if new:
+            self.learn(new)
+            data = self.words.fill(words, data)
+        rows = np.frombuffer(b"".join(data), "<f4").reshape(len(words), -1)  # the last column counts units
         out = []
-        for ws in parts:
-            if not ws or not self.model.languages:
+        for i in range(len(texts)):
+            sums = rows[ids[bounds[i] : bounds[i + 1]]].sum(axis=0, dtype=np.float64) if bounds[i] < bounds[i + 1] else np.zeros(1)
+            logs, count = sums[:-1], sums[-1]
+            if not count or not self.model.languages:
                 out.append((UNKNOWN, 0.0))
                 continue
-            logs = self.logs[np.fromiter(map(self.rows.__getitem__, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64)
             best = int(np.argmax(logs))
-            share = np.exp((logs - logs[best]) / np.sqrt(len(ws)))  # words of a text are not independent
+            share = np.exp((logs - logs[best]) / np.sqrt(count))  # words of a text are not independent
             out.append((self.model.languages[best], float(share[best] / share.sum())))
         return out
 
 
+_scorers: list[tuple[LanguageModel, Scorer]] = []
+
+
+def scorer_of(model: LanguageModel) -> Scorer:
+    """The scorer of the model in this Python worker; its cache outlives a task, and only the last model's is kept."""
+    if not _scorers or _scorers[0][0] is not model:
+        _scorers[:] = [(model, Scorer(model))]
+    return _scorers[0][1]
+
+
 def fit(docs: DataFrame, vocab_path: str | None = None, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> LanguageModel:
     """Learn from text and lang of the rows given; rows with a null of either teach nothing.
 
@@ -198,7 +217,7 @@ def fit(docs: DataFrame, vocab_path: str | None = None, sample_docs: int = SAMPL
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageModel([], np.zeros((len(vocab) + 1, 0)), path)
+        return LanguageModel([], np.zeros((pieces(vocab) + 1, 0)), path)
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(max(1, n // sample_docs))).otherwise(share)
@@ -228,11 +247,11 @@ def predict(docs: DataFrame, model: LanguageModel, name: str = "lang_pred") -> D
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = sent.value.scorer()
+        score = scorer_of(sent.value)
         for texts in batches:
             found = []
             for at in range(0, len(texts), 512):
-                found += score([None if t is None else t for t in texts.iloc[at : at + 512]])
+                found += score(pa.array(texts.iloc[at : at + 512], pa.large_string(), from_pandas=True))
             yield pd.DataFrame(found, columns=["lang", "score"])
 
     return docs.withColumn("_guess", guess("text")).withColumn(name, F.col("_guess.lang")).withColumn("score", F.col("_guess.score")).drop("_guess")
