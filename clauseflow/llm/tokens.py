@@ -31,8 +31,9 @@ END_ID = 2
 MAGIC = b"CFBITS01"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
-SHARD_IDS = 1 << 23
-CACHE_WORDS = 400_000
+SHARD_IDS = 1 << 22
+READ_IDS = 1 << 19
+CACHE_WORDS = 250_000
 #: Signs that the pre-tokenizer parts from letters before them.
 TAILS = ".,;:!?$%&*#)]}\"'|-"
 
@@ -270,11 +271,18 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
         for batch in batches:
             for name, data in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 shard = Shard(data.as_py())
-                out = ([], [], [], [], [])
-                for i, doc_id in enumerate(shard.doc_ids):
-                    ids = shard.document(i)
-                    for col, v in zip(out, (name, doc_id, int(shard.starts[i]), len(ids), zlib.crc32(ids.tobytes())), strict=True):
-                        col.append(v)
+                out: tuple[list, ...] = ([], [], [], [], [])
+                first = 0
+                while first < shard.n_docs:  # many documents at a time, so that a block is unpacked once
+                    last = max(first + 1, int(np.searchsorted(shard.starts, shard.starts[first] + READ_IDS, "right")) - 1)
+                    data = shard.ids(int(shard.starts[first]), int(shard.starts[last])).tobytes()
+                    at = (shard.starts[first : last + 1] - shard.starts[first]).tolist()
+                    out[4].extend(zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False))
+                    first = last
+                out[0].extend([name] * shard.n_docs)
+                out[1].extend(shard.doc_ids)
+                out[2].extend(shard.starts[:-1].tolist())
+                out[3].extend(np.diff(shard.starts).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     rows = files.mapInArrow(read, "name string, doc_id long, inside long, n_tokens long, ids_crc32 long").join(manifest, "name")

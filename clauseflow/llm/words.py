@@ -32,7 +32,7 @@ def split_words(texts: pa.Array, blanks: str = BLANKS, lower_ascii: bool = False
     return bounds, ids, words
 
 
-def chunks(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into parts of at most `rows` rows and about `size` bytes of text; no row is cut."""
     for batch in batches:
         at = 0
