@@ -97,22 +97,32 @@ def spans_of(text: Column, finder: Finder) -> Column:
     return F.when(F.regexp_like(text, F.lit(finder.pattern)), _spans(text, finder)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, finder: Finder) -> Column:
     found = F.regexp_extract_all(text, F.lit(finder.pattern), F.lit(0))
     gaps = F.split(text, finder.pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())  # there is one gap more than matches
+    nothing = F.array().cast("array<struct<start:int,end:int,m:string>>")
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    # Offsets are running sums; blocks of 64 keep their cost in proportion to the number of matches.
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / 64).cast("int")), lambda b: F.slice(pairs, b * 64 + 1, F.lit(64)))
-    lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["m"])))
-    begins = F.transform(blocks, lambda b, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    nothing = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    located = F.flatten(F.zip_with(blocks, begins, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])))
+    def cut(ps):  # offsets are running sums; blocks of 64 matches keep their cost in proportion
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / 64).cast("int")), lambda b: F.slice(ps, b * 64 + 1, F.lit(64)))
+
+    def locate(blocks):
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["m"])))
+        begins = let(lengths, lambda ls: F.transform(ls, lambda _, i: F.aggregate(F.slice(ls, F.lit(1), i), F.lit(0), lambda a, x: a + x)))
+        return F.flatten(F.zip_with(blocks, begins, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])))
+
+    located = let(let(pairs, cut), locate)
     passed = F.filter(located, lambda x: finder.check(x["m"]))
 
     def rated(x):
