@@ -174,18 +174,20 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> fl
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Learn from rows with doc_id, text and quality (0 or 1; other values and nulls teach nothing; a null text is empty).
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+    """Learn from docs (doc_id, text) and labels (doc_id, quality; other values than 0 and 1, and nulls, teach nothing).
 
-    About sample_rows rows of each class are read, chosen by a hash of the id, and weigh so that the classes keep
-    their shares. Without rows of both classes the model scores their common class, or 0.5 without any.
+    Of each class fewer than 2 * sample_rows labels are expected to be read, chosen by a hash of the id, and weigh so
+    that the classes keep their shares; their bound makes the join a broadcast. A null text is empty. With rows of
+    one class the model scores that class, without any nearly 0.5.
     """
-    labelled = labelled.filter(F.col("quality").isin(0, 1))
-    counts = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
+    labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     share = {k: max(1, n // sample_rows) for k, n in counts.items()}
     chosen = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.when(F.col("quality") == 1, F.lit(share.get(1, 1))).otherwise(F.lit(share.get(0, 1)))) == 0
     part = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(5)) == 0
-    rows = sorted(labelled.filter(chosen).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality", part.alias("apart")).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels.filter(chosen)), "doc_id")
+    rows = sorted(rows.select("doc_id", "text", "quality", part.alias("apart")).collect(), key=lambda r: (r["doc_id"], r["text"], r["quality"]))
     return fit_rows([r["text"] for r in rows], np.array([r["quality"] for r in rows], float), np.array([counts[r["quality"]] for r in rows], float), np.array([r["apart"] for r in rows], bool))
 
 
@@ -232,6 +234,6 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(5)) == 0
-    model = fit(docs.select("doc_id", "text").join(labels.filter(~held_out).select("doc_id", "quality"), "doc_id"))
+    model = fit(docs, labels.filter(~held_out))
     rows = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
