@@ -5,12 +5,14 @@ from __future__ import annotations
 from .language import op1_language_id
 from .mixing import op10_curriculum_mix
 from .packing import op7_best_fit_packing
+from .pii import op4_pii
 from .quality import op9_quality
 from .tokens import op2_token_files
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
+    "op4_pii": op4_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality": op9_quality,
     "op10_curriculum_mix": op10_curriculum_mix,
