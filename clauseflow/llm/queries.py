@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .language import op1_language_id
+from .fingerprint import op3_order_minhash
+from .media import op5_media
 from .mixing import op10_curriculum_mix
 from .packing import op7_best_fit_packing
 from .pii import op4_pii
@@ -12,7 +14,9 @@ from .tokens import op2_token_files
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
+    "op3_order_minhash": op3_order_minhash,
     "op4_pii": op4_pii,
+    "op5_media": op5_media,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality": op9_quality,
     "op10_curriculum_mix": op10_curriculum_mix,
