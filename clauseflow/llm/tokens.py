@@ -21,6 +21,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,19 +73,18 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.cache = Recent(CACHE_WORDS)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(bounds, ids): the ids of text i are ids[bounds[i]:bounds[i + 1]]; a null text is empty."""
-        docs, places, words = split_words(texts, "\n ")
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as u32 bytes; a null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # Lower case before composing accents could compose more, or make a special token: such texts go as they are.
+        plain = pc.invert(pc.match_substring_regex(texts, "<\\||[\u0300-\u036f]"))
+        docs, places, words = split_words(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n ")
         data, new = self.cache.find(words)
         if new:
             self.learn(new)
             data = self.cache.fill(words, data)
-        sizes = np.array([len(d) // 4 for d in data], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        lengths = sizes[places]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(begins[places] - ends[:-1], lengths) + np.arange(ends[-1])
-        return ends[docs], np.frombuffer(b"".join(data), "<u4")[at]
+        places, docs = places.tolist(), docs.tolist()
+        return [b"".join([data[k] for k in places[a:b]]) for a, b in zip(docs, docs[1:], strict=False)]
 
     def learn(self, new: list[str]) -> None:
         cores, tails = [], []
@@ -92,7 +92,7 @@ class Encoder:
             core = w.rstrip(TAILS)
             if "<|" in w or not core.isalpha():  # may be a special token, or more than letters
                 core = w
-            cores.append(core.lower() if core.isascii() else core)
+            cores.append(core)
             tails.append(w[len(core) :])
         asked = list({*cores, *tails})
         _, missing = self.cache.find(asked)
@@ -123,11 +123,8 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids as u32 bytes) of each row of Arrow batches with doc_id and text; a null text is empty."""
     encode = encoder(path)
-    for part in chunks(batches):
-        bounds, ids = encode(part.column("text"))
-        data, bounds = ids.tobytes(), (4 * bounds).tolist()
-        for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
-            yield doc_id, data[bounds[i] : bounds[i + 1]]
+    for part in chunks(batches, rows=2048, size=8 << 20):
+        yield from zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True)
 
 
 def width_of(vocabulary: int) -> int:
