@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op8_jaccard_join
 from .language import op1_language_id
 from .fingerprint import op3_order_minhash
 from .media import op5_media
@@ -9,6 +10,7 @@ from .mixing import op10_curriculum_mix
 from .packing import op7_best_fit_packing
 from .pii import op4_pii
 from .quality import op9_quality
+from .substrings import op6_substring_dedup
 from .tokens import op2_token_files
 
 QUERIES = {
@@ -17,7 +19,9 @@ QUERIES = {
     "op3_order_minhash": op3_order_minhash,
     "op4_pii": op4_pii,
     "op5_media": op5_media,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
