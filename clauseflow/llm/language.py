@@ -238,7 +238,7 @@ def fit(docs: DataFrame, vocab_path: str | None = None, sample_docs: int = SAMPL
     return LanguageModel(languages, np.concatenate(columns, axis=1), path)
 
 
-def predict(docs: DataFrame, model: LanguageModel, name: str = "lang_pred") -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, name: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score (0 to 1); `und`, 0 where the text is null or has no letter.
 
     Any other columns pass through. The model is one matrix of vocabulary by languages and goes along with the task.
@@ -247,14 +247,14 @@ def predict(docs: DataFrame, model: LanguageModel, name: str = "lang_pred") -> D
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = scorer_of(sent.value)
+        scorer = scorer_of(sent.value)
         for texts in batches:
             found = []
             for at in range(0, len(texts), 512):
-                found += score(pa.array(texts.iloc[at : at + 512], pa.large_string(), from_pandas=True))
+                found += scorer(pa.array(texts.iloc[at : at + 512], pa.large_string(), from_pandas=True))
             yield pd.DataFrame(found, columns=["lang", "score"])
 
-    return docs.withColumn("_guess", guess("text")).withColumn(name, F.col("_guess.lang")).withColumn("score", F.col("_guess.score")).drop("_guess")
+    return docs.withColumn("_guess", guess("text")).withColumn(name, F.col("_guess.lang")).withColumn(score, F.col("_guess.score")).drop("_guess")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
