@@ -8,8 +8,8 @@ sizes and the places of shared tokens still allow the similarity; they are expan
 token counts by hash bucket, and are verified on the whole sets.
 
 Since links are wanted as components, a pair inside one component need not be verified. So first each class meets the
-least class of its group and of the blocks it shares most tokens with, which joins the members of a large group of
-near copies without its pairs; then whatever pairs between different components remain are all verified.
+least class of its group, and in a few turns one centre of each block it is in, which joins the members of a large
+group of near copies without its pairs; then whatever pairs between different components remain are all verified.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, saved, table
@@ -35,6 +36,11 @@ BUCKETS = 64
 COMMON = 3
 RUN = 1 << 21
 FREQUENT = 1 << 17
+#: The first links are sought on so many of a class's rarest shared tokens, in so many turns, each class with so many
+#: of the likeliest partners. They only make the last, complete search smaller.
+STAR_TOKENS = 12
+STAR_TURNS = 2
+STAR_PARTNERS = 2
 
 
 def token_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -124,10 +130,11 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             full = (counts[0] == 65535) & (counts[1] == 65535)  # may hold more than was counted
             most = np.minimum(*counts).sum(axis=1, dtype=np.int64) + np.where(full.any(axis=1), 1 << 40, 0)
             total = part.column("a_n").to_numpy() + part.column("b_n").to_numpy()
-            good = (100 + percent) * most >= percent * total
-            yield part.select(["a", "b"]).filter(pa.array(good))
+            good = pa.array((100 + percent) * most >= percent * total)
+            bound = pa.array(np.minimum(most / np.maximum(total - most, 1), 1.0) if len(most) else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), bound], ["a", "b", "bound"]).filter(good)
 
-    return joined.mapInArrow(keep, "a long, b long")
+    return joined.mapInArrow(keep, "a long, b long, bound double")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -161,6 +168,22 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     return links
 
 
+def star_pairs(near: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each class b with the centres of blocks it is in, of other components than its own.
+
+    A block is a token and a band of sizes. Its centre is the class that has the token earliest in its order: fewest
+    rare tokens stand before it, so that it is likest what the block has in common; later turns look at places more and
+    more coarsely. A class has as many pairs as tokens at most: a turn is linear in the blocks, however large one is.
+    """
+    banded = _labelled(near, labels, "least", "label").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + (turn % 2) / 2))
+    banded = saved(banded, "banded")
+    early = F.struct(F.floor(F.col("place") / 2**turn).alias("early"), F.xxhash64(F.lit(turn), "least").alias("chance"), F.col("least").alias("centre"), F.col("label").alias("centre_label"))
+    centres = banded.groupBy("token", "band").agg(F.min(early).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+    centres = saved(centres.select("token", "band", "c.centre", "c.centre_label"), "centres")
+    met = banded.join(centres, ["token", "band"]).filter("label <> centre_label")
+    return met.select(F.col("centre").alias("a"), F.col("least").alias("b")).distinct()
+
+
 def _labelled(frame: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
     found = labels.select(F.col("node").alias(node), F.col("label").alias(name))
     return frame.join(found, node, "left").withColumn(name, F.coalesce(name, node))
@@ -188,18 +211,22 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = saved(places.groupBy("token").count().filter("count > 1").select("token"), "tokens")
     blocks = saved(places.join(shared, "token"), "blocks")
 
-    # First links: with the least class of the own group, and with the least class of the blocks (by size) most often shared.
+    # First links: with the least class of the own group, and with centres of the blocks.
     own = classes.join(groups.filter("members > 1").select("g", "least"), "g").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    stars = own
-    for shift in (0.0, 0.5):  # bands half a step apart, so that near sizes meet in one of them
-        banded = blocks.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + shift))
-        centres = saved(banded.groupBy("token", "band").agg(F.min("least").alias("centre")), "centres")
-        met = banded.join(centres, ["token", "band"]).filter("least <> centre").groupBy("least", "centre").count()
-        best = met.groupBy("least").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("centre"))
-        stars = stars.unionByName(best.select(F.col("centre").alias("a"), F.col("least").alias("b")))
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(possible(stars, classes, percent), classes, docs, percent)
+    links = verified(possible(own, classes, percent), classes, docs, percent)
+    few = W.partitionBy("least").orderBy("place")
+    near = saved(blocks.select("token", "least", "n", "place").withColumn("_k", F.row_number().over(few)).filter(F.col("_k") <= STAR_TOKENS).drop("_k"), "near")
     labels = components(links)
+    for turn in range(STAR_TURNS):
+        stars = star_pairs(near, labels, percent, turn)
+        bounded = possible(stars, classes, percent)
+        surest = W.partitionBy("b").orderBy(F.desc("bound"), "a")
+        chosen = bounded.withColumn("_k", F.row_number().over(surest)).filter(F.col("_k") <= STAR_PARTNERS).select("a", "b")
+        found_now = verified(chosen, classes, docs, percent)
+        if found_now.isEmpty():
+            break
+        links = saved(links.unionByName(found_now), "links")
+        labels = components(links)
 
     # All pairs of groups between different components, then of their classes.
     grouped = saved(_labelled(classes.select("node", "g"), labels, "node", "label"), "grouped")
@@ -214,6 +241,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         (F.col("g1") < F.col("g2"))
         & (100 * F.col("n2") >= percent * F.col("n1"))
         & (100 * F.col("n1") >= percent * F.col("n2"))
+        # The first token that a pair shares stands before all others it shares, in both prefixes.
+        & (F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= need)
         & ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
     )
     met = left.join(right, "token").filter(allowed)
