@@ -11,16 +11,21 @@ All sorts are of plain longs that carry a hash above and a position below, withi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dense_order, saved, table
+from .common import saved, shuffle_width, table
 
 TUPLE = 2
 BIN_BITS = 5
 BINS = 1 << BIN_BITS
 #: Low bits for a position: texts of up to 67 million words keep all positions apart.
 PLACE_BITS = 26
+#: Ranges of ids for each shuffle partition.
+RANGES = 4
 _PLACE = (1 << PLACE_BITS) - 1
 
 
@@ -70,12 +75,46 @@ def written(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda v: F.lpad(F.lower(F.hex(v)), 10, "0")), "")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """For each different (kd, h) of docs the next one's (next_kd, next_h), by ascending doc_id and then text hash; the last has the first."""
-    keys = dense_order(docs.select("kd", "h", "n").distinct(), ["kd", "h"])
-    total = keys.count()
-    after = keys.select(F.col("kd").alias("next_kd"), F.col("h").alias("next_h"), F.pmod(F.col("idx") - 1, F.lit(max(1, total))).alias("idx"))
-    return keys.join(after, "idx").drop("idx")
+def _bucket(key: Column, splitters: list[int]) -> Column:
+    """How many of the ascending splitters are at most the key, in two steps of about their square root."""
+    if not splitters:
+        return F.lit(0)
+    width = max(1, math.isqrt(len(splitters)))
+    coarse = F.array(*[F.lit(x) for x in splitters[::width]])
+    fine = F.array(*[F.array(*[F.lit(x) for x in splitters[i : i + width]]) for i in range(0, len(splitters), width)])
+    block = F.size(F.filter(coarse, lambda x: x <= key))
+    inside = F.size(F.filter(F.get(fine, block - 1), lambda x: x <= key))
+    return F.when(block == 0, 0).otherwise((block - 1) * width + inside)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs (kd, h, text, ...) with the next different row's next_kd, next_h and next_text, the last with the first's.
+
+    Rows are dealt into ranges of kd, a few for each shuffle partition, and one more row, the first of the range that
+    follows, goes along with each; a window within a range then sees every neighbour. The texts are shuffled once.
+    """
+    spark = docs.sparkSession
+    parts = RANGES * shuffle_width(spark)
+    at = [i / parts for i in range(1, parts)]
+    found = docs.agg(F.percentile_approx("kd", at, 10 * parts)).collect()[0][0] or []
+    docs = docs.withColumn("range", _bucket(F.col("kd"), sorted(set(found))).cast("int"))
+    firsts = docs.groupBy("range").agg(F.min(F.struct("kd", "h")).alias("k")).collect()  # a row for each range
+    firsts.sort(key=lambda r: r["range"])
+    follows = [(firsts[(i + 1) % len(firsts)]["k"]["kd"], firsts[(i + 1) % len(firsts)]["k"]["h"], r["range"]) for i, r in enumerate(firsts)]
+    follows = spark.createDataFrame(follows, "kd long, h long, to int")
+    extra = docs.join(F.broadcast(follows), ["kd", "h"]).groupBy("to").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    extra = extra.select(*[F.col("to").alias("range") if c == "range" else F.col(f"r.{c}").alias(c) for c in docs.columns], F.lit(1).alias("extra"))
+    rows = docs.withColumn("extra", F.lit(0)).unionByName(extra)
+    w = W.partitionBy("range").orderBy("extra", "kd", "h")
+    after = F.struct(F.lead("kd").over(w).alias("kd"), F.lead("h").over(w).alias("h"), F.lead("text").over(w).alias("text"))
+    rows = rows.withColumn("after", after).filter("extra = 0")
+    different = (F.col("after.kd") != F.col("kd")) | (F.col("after.h") != F.col("h"))
+    alone = F.lit(len(firsts) == 1)  # one range: its first may be its only row
+    rows = rows.withColumn("after", F.when(different, F.col("after")))
+    rows = rows.withColumn("after", F.max("after").over(W.partitionBy("range", "extra", "kd", "h")))
+    whole = F.coalesce("after", F.when(alone, F.struct("kd", "h", "text")))
+    rows = rows.withColumn("after", whole)
+    return rows.select(*[c for c in docs.columns if c != "range"], F.col("after.kd").alias("next_kd"), F.col("after.h").alias("next_h"), F.col("after.text").alias("next_text"))
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -83,20 +122,13 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     The edited text ends in the first floor(n/4) signs of the next document instead of the text's own last. Null texts
     are empty; null ids come first; rows with one id follow each other by a hash of the text; repeated rows are one
-    in that order and get the same values.
+    in that order and get the same values; a row without any other is its own next.
     """
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"))
     docs = docs.withColumns({"kd": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text"), "n": F.length("text").cast("long")})
-    pairs = saved(neighbours(docs), "neighbours")
-    quarter = F.floor(F.col("n") / 4).cast("int")
-    heads = (
-        docs.select(F.col("kd").alias("next_kd"), F.col("h").alias("next_h"), "text")
-        .join(pairs.withColumn("quarter", quarter), ["next_kd", "next_h"])
-        .groupBy("kd", "h")
-        .agg(F.min(F.expr("substring(text, 1, quarter)")).alias("head"), F.min("next_kd").alias("next_kd"), F.min("next_h").alias("next_h"))
-    )
-    rows = docs.join(heads, ["kd", "h"]).withColumn("edited", F.concat(F.expr("substring(text, 1, int(n) - int(floor(n / 4)))"), F.col("head"))).drop("head")
+    rows = with_next(docs)
+    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n) - int(floor(n / 4)))"), F.expr("substring(next_text, 1, int(floor(n / 4)))"))).drop("next_text")
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     rows = with_signature(with_signature(rows, "text", "own").drop("text"), "edited", "other").drop("edited")
     rows = saved(rows, "signatures")
