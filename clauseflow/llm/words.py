@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 from .common import BLANKS
 
 
-def split_words(texts: pa.Array, blanks: str = BLANKS, lower_ascii: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(texts: pa.Array, blanks: str = BLANKS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(bounds, ids, words): text i has the words words[k] for k in ids[bounds[i]:bounds[i + 1]]; a null text has none."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower_ascii:
-        texts = pc.ascii_lower(texts)
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
     for blank in blanks:
         if blank != " ":
             texts = pc.replace_substring(texts, blank, " ")
@@ -40,7 +40,9 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 <<
             n = min(rows, batch.num_rows - at)
             while n > 1 and batch.slice(at, n).nbytes > size:
                 n = (n + 1) // 2
-            yield batch.slice(at, n)
+            part = batch.slice(at, n)
+            # A copy that begins at offset 0: pc.ascii_lower misreads the offsets of a slice.
+            yield part if n == batch.num_rows else part.take(pa.array(np.arange(n)))
             at += n
 
 
