@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import date_key, let, matches, money_number, nearest_role, party_name, strip
-from .fold import packed_by_budget
+from .fold import by_group, packed_by_budget
 
 KINDS = ("party", "amount", "date", "subject")
 _ITEM = "array<struct<at:int,kind:string,value:string,normalized:string,role:string,confidence:double>>"
@@ -104,14 +104,7 @@ def merge(elements: DataFrame) -> DataFrame:
                 target.update({k: v for k, v in row.items() if k not in ("_key", "_place")})
         return held
 
-    schema = rest.schema
-
-    def run(group):
-        import pandas as pd
-
-        return pd.DataFrame(exact_first(group.sort_values("seq", kind="stable").to_dict("records")), columns=schema.names)
-
-    rest = rest.groupBy("contract_id", "kind").applyInPandas(run, schema).withColumn("seq", F.col("_place")).drop("_key", "_place")
+    rest = by_group(rest, ["contract_id", "kind"], ["seq"], exact_first).withColumn("seq", F.col("_place")).drop("_key", "_place")
     out = merge_amounts(elements).select(*rest.columns).unionByName(rest)
     out = out.withColumn("seq", F.row_number().over(W.partitionBy("contract_id").orderBy("seq")))
     return out.withColumn("element_id", F.format_string("E%04d", "seq"))
@@ -119,15 +112,12 @@ def merge(elements: DataFrame) -> DataFrame:
 
 def batches(clauses: DataFrame, budget: int = 8_000, cut: int = 2_000) -> DataFrame:
     """clauses with the batch each goes to a model in: at most `cut` signs of a clause count, batches hold `budget`."""
-    import pandas as pd
-
-    sized = clauses.select("contract_id", "clause_seq", F.length(F.substring("text", 1, cut)).alias("size"))
+    sized = clauses.select("contract_id", "clause_seq", F.length(F.substring("text", 1, cut)).alias("size"), F.lit(0).alias("batch"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("clause_seq")
-        return group.assign(batch=packed_by_budget(group["size"].tolist(), budget))
+    def number(rows: list[dict]) -> list[dict]:
+        return [row | {"batch": b} for row, b in zip(rows, packed_by_budget([r["size"] for r in rows], budget), strict=True)]
 
-    placed = sized.groupBy("contract_id").applyInPandas(run, "contract_id string, clause_seq int, size int, batch int" if dict(clauses.dtypes)["contract_id"] == "string" else "contract_id long, clause_seq int, size int, batch int")
+    placed = by_group(sized, ["contract_id"], ["clause_seq"], number)
     return clauses.join(placed.drop("size"), ["contract_id", "clause_seq"])
 
 

@@ -1,12 +1,12 @@
 """Ordered greedy merging, the one step of review that depends on the order of its rows.
 
-A row joins the first earlier row that accepts it and changes that row, which later rows then see. It runs in Python
-on one group at a time; groups are one contract's rows of one code or kind, which a contract's length bounds.
+A row joins the first earlier row that accepts it and changes that row, which later rows then see. It runs in Python,
+group by group; groups are one contract's rows of one code or kind, which a contract's length bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,18 +24,35 @@ def greedy(rows: list[dict], accepts: Callable[[dict, dict], bool], absorb: Call
     return held
 
 
-def folded(frame: DataFrame, by: list[str], order: list[str], accepts, absorb, schema: StructType | None = None) -> DataFrame:
-    """frame's rows, merged within each group in the order given; array columns reach the functions as lists."""
+def by_group(frame: DataFrame, by: list[str], order: list[str], fold: Callable[[list[dict]], list[dict]], schema: StructType | None = None) -> DataFrame:
+    """fold over each group's rows in order. Rows come sorted by group, so that one Python call serves many small groups
+    and holds one group and one batch at a time."""
     schema = schema or frame.schema
+    names = [f.name for f in schema]
     arrays = [f.name for f in schema if f.dataType.typeName() == "array"]
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(order, kind="stable").to_dict("records")
-        for row in rows:
-            row.update({a: list(row[a]) if row[a] is not None else [] for a in arrays})
-        return pd.DataFrame(greedy(rows, accepts, absorb), columns=[f.name for f in schema])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        out: list[dict] = []
+        for batch in batches:
+            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                row.update({a: list(row[a]) if row[a] is not None else [] for a in arrays})
+                if held and any(held[0][k] != row[k] for k in by):
+                    out += fold(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if held:
+            yield pd.DataFrame(fold(held), columns=names)
+
+    return frame.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
-    return frame.groupBy(*by).applyInPandas(merge, schema)
+
+def folded(frame: DataFrame, by: list[str], order: list[str], accepts, absorb) -> DataFrame:
+    """frame's rows, merged within each group in the order given; array columns reach the functions as lists."""
+    return by_group(frame, by, order, lambda rows: greedy(rows, accepts, absorb))
 
 
 def add_new(target: list, more: list) -> None:
