@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, table
-from .words import Recent, split_words
+from .words import Recent, held, split_words
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words are cut into runs of at most so many letters; no letter is dropped.
@@ -31,7 +31,7 @@ SAMPLE_DOCS = 400
 SAMPLE_WORDS = 60_000
 ROUNDS = 4
 FLOOR = 1e-7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 UNKNOWN = "und"
 
 
@@ -149,7 +149,7 @@ def fit_language(words: list[str], weight: np.ndarray, vocab: dict[str, int], ro
     return np.maximum(p, FLOOR)
 
 
-@dataclass
+@dataclass(eq=False)
 class LanguageModel:
     languages: list[str]
     probabilities: np.ndarray  # [piece, language]
@@ -170,11 +170,14 @@ class Scorer:
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             logs = np.log(np.maximum(Lattice.of(part, self.vocab).likelihood(self.model.probabilities), 1e-300))
-            self.units.young.update(zip(part, np.column_stack([logs, np.ones(len(part))]), strict=True))
-        known, none = self.units.young, np.zeros(len(self.model.languages) + 1)
-        self.words.young.update(
-            (w, (known[us[0]] if len(us) == 1 else sum((known[u] for u in us), none)).astype("<f4").tobytes()) for w, us in zip(new, split, strict=True)
-        )
+            self.units.young.update(zip(part, map(np.ndarray.tobytes, np.column_stack([logs, np.ones(len(part))]).astype("<f4")), strict=True))
+        known, width = self.units.young, len(self.model.languages) + 1
+        for w, us in zip(new, split, strict=True):
+            if len(us) == 1:
+                self.words.young[w] = known[us[0]]
+            else:
+                rows = np.frombuffer(b"".join(known[u] for u in us), "<f4").reshape(-1, width)
+                self.words.young[w] = rows.sum(axis=0, dtype="<f4").tobytes()
 
     def __call__(self, texts: pa.Array) -> list[tuple[str, float]]:
         bounds, ids, words = split_words(texts)
@@ -196,14 +199,9 @@ class Scorer:
         return out
 
 
-_scorers: list[tuple[LanguageModel, Scorer]] = []
-
-
 def scorer_of(model: LanguageModel) -> Scorer:
-    """The scorer of the model in this Python worker; its cache outlives a task, and only the last model's is kept."""
-    if not _scorers or _scorers[0][0] is not model:
-        _scorers[:] = [(model, Scorer(model))]
-    return _scorers[0][1]
+    """The scorer of the model in this Python worker; its cache outlives a task."""
+    return held(model, lambda: Scorer(model))
 
 
 def fit(docs: DataFrame, vocab_path: str | None = None, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> LanguageModel:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, table
-from .words import split_words
+from .words import held, split_words
 
 DIMENSIONS = 64
 NONZERO = 4
@@ -32,7 +32,7 @@ SAMPLE_ROWS = 2_000
 HIDDEN = 32
 EPOCHS = 400
 THRESHOLD = 0.3
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -129,7 +129,7 @@ class Pooler:
         return out
 
 
-@dataclass
+@dataclass(eq=False)
 class QualityModel:
     vectors: WordVectors
     shift: np.ndarray
@@ -206,14 +206,9 @@ def fit_rows(texts: list[str], y: np.ndarray, of_class: np.ndarray, apart: np.nd
     return model
 
 
-_poolers: list[tuple[QualityModel, Pooler]] = []
-
-
 def pooler_of(model: QualityModel) -> Pooler:
-    """The pooler of the model in this Python worker; its cache outlives a task, and only the last model's is kept."""
-    if not _poolers or _poolers[0][0] is not model:
-        _poolers[:] = [(model, Pooler(model.vectors))]
-    return _poolers[0][1]
+    """The pooler of the model in this Python worker; its cache outlives a task."""
+    return held(model, lambda: Pooler(model.vectors))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

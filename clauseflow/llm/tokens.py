@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, shuffle_width, table
-from .words import Recent, chunks, split_words
+from .words import Recent, chunks, held, split_words
 
 END_ID = 2
 MAGIC = b"CFBITS01"
@@ -114,10 +114,9 @@ class Encoder:
         known.update((w, known[c] + known[t] if t else known[c]) for w, c, t in zip(new, cores, tails, strict=True))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each Python worker, so that its cache outlives a task."""
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, bytes]]:

@@ -46,6 +46,18 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 <<
             at += n
 
 
+_held: list = []
+
+
+def held(owner, make):
+    """What make() gives for this owner, kept in this Python worker beyond a task. Only the last owner's is kept, so that
+    operators that follow each other in one worker don't add up their caches."""
+    if not _held or _held[0] is not owner and _held[0] != owner:
+        _held.clear()
+        _held.extend((owner, make()))
+    return _held[1]
+
+
 class Recent:
     """A bounded cache of two generations: once `limit` entries are new, those not asked for since the last turn go."""
 
