@@ -1,0 +1,87 @@
+"""Calls to a model as a table operator: (request_id, prompt) to (request_id, response, error).
+
+The transport is a picklable function of (prompt, schema_name) that returns the answer's text; tests give a fake one.
+Answers are kept by a hash of the request, so that a task that runs again doesn't ask again what was answered before.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+Transport = Callable[[str, str], str]
+RESPONSE = "response string, error string"
+
+
+def request_key(prompt: Column, schema_name: str) -> Column:
+    return F.sha2(F.concat(F.lit(schema_name + "\n"), prompt), 256)
+
+
+def ask(requests: DataFrame, schema_name: str, transport: Transport, known: DataFrame | None = None, attempts: int = 2) -> DataFrame:
+    """requests (with a prompt column) with request_key, response and error; a failing request is a row with an error.
+
+    known: request_key, response of earlier answers; only other requests are sent, each different prompt once.
+    """
+    keyed = requests.withColumn("request_key", request_key(F.col("prompt"), schema_name))
+    wanted = keyed.select("request_key", "prompt").dropDuplicates(["request_key"])
+    if known is not None:
+        wanted = wanted.join(known, "request_key", "left_anti")
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, prompt in zip(batch["request_key"], batch["prompt"], strict=True):
+                error = None
+                for _ in range(attempts):
+                    try:
+                        rows.append((key, transport(prompt, schema_name), None))
+                        break
+                    except Exception as e:  # one bad answer must not end the job
+                        error = f"{type(e).__name__}: {e}"
+                else:
+                    rows.append((key, None, error))
+            yield pd.DataFrame(rows, columns=["request_key", "response", "error"], dtype=object)
+
+    fresh = wanted.mapInPandas(call, "request_key string, " + RESPONSE)
+    if known is not None:
+        fresh = fresh.unionByName(known.select("request_key", "response", F.lit(None).cast("string").alias("error")))
+    return keyed.join(fresh, "request_key", "left")
+
+
+def json_text(answer: Column) -> Column:
+    """The JSON object of an answer that may be fenced as code or wrapped in prose; null without one."""
+    plain = F.regexp_replace(F.trim(answer), r"(?s)^```(?:json)?\s*|\s*```$", "")
+    found = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(found).isNotNull(), F.nullif(found, F.lit("")))
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
+    """(id, embedding) of (id, text), asked for in batches; as many vectors must come back as texts were sent."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                vectors = embed(part["text"].fillna("").tolist())
+                if len(vectors) != len(part):
+                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": vectors})
+
+    return texts.select("id", "text").mapInPandas(run, f"id {dict(texts.dtypes)['id']}, embedding array<float>")
+
+
+def hash_embedding(texts: list[str], size: int = 64) -> list[list[float]]:
+    """An offline stand-in for a model: signs drawn from the hashes of a text's characters and their pairs."""
+    import hashlib
+
+    out = []
+    for text in texts:
+        vector = [0.0] * size
+        for unit in [*text, *(a + b for a, b in zip(text, text[1:], strict=False))]:
+            h = hashlib.blake2b(unit.encode(), digest_size=4).digest()
+            vector[h[0] % size] += 1.0 if h[1] & 1 else -1.0
+        out.append(vector)
+    return out

@@ -14,7 +14,7 @@ MAX_BYTES = 25 * 1024 * 1024
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Uploads under a path: filename (without folders), suffix, length, content."""
+    """Uploads under a path: filename (without folders), suffix, length, content. Spark's scan leaves out files of no bytes."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), -1)
     return rows.select(name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("suffix"), "length", "content")
