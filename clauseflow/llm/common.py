@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def tucked(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its needed columns and all others inside one struct, where their names can't clash, and the way back.
+
+    The way back selects df's columns, in their order, from a frame that still has those columns.
+    """
+    others = [c for c in df.columns if c not in needed]
+    inside = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
+    names = list(df.columns)
+
+    def back(frame: DataFrame) -> DataFrame:
+        return frame.select(*[F.col(f"tucked_columns.`{c}`").alias(c) if c in others else F.col(c) for c in names])
+
+    return df.select(*needed, inside.alias("tucked_columns")), back
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the decimal text of an id; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

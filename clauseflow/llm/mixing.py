@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, shuffle_width, table, tucked
 
 CAP = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -103,7 +103,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULE
     rows = rows.withColumn("full", full).withColumn("part", F.col("target") - full * F.col("source_size"))
     long = F.col("size") > LONG * F.col("source_size")
 
-    # Long documents, fewer than 1/LONG for each source: taken if that brings their sum nearer to the pass's part of them.
+    # Long documents, fewer than 1/LONG for each source, the longest first, so that what is left over in the end is small:
+    # taken if that brings their sum nearer to the pass's part of them.
     def keep(acc, x):
         seen = acc["seen"] + x["size"]
         wanted = seen * x["share"]
@@ -119,7 +120,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULE
     longs = (
         rows.filter(long)
         .groupBy("source")
-        .agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", F.col("size").cast("double").alias("size"), share))).alias("all"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("largest_first"), "h", "doc_id", F.col("size").cast("double").alias("size"), share))).alias("all"))
         .select("source", F.aggregate("all", start, keep).alias("got"))
         .select("source", "got.sum", "got.took")
     )
@@ -177,13 +178,16 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULE
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, range-sorted by training time (column position)."""
-    spark = docs.sparkSession
-    plan = mixed(docs, **options).filter("passes > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "positions")
-    plan = plan.groupBy("_id", "_source", "_size").agg(F.max("positions").alias("positions"))  # repeated rows share one plan
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    rows = docs.join(plan, key).withColumn("position", F.explode("positions")).select(*docs.columns, "position")
-    return rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    """The mix itself: the rows of docs, each as often as it is taken, range-sorted by training time.
+
+    Rows that are alike in id, source and size share one plan. All columns pass through, whatever their names.
+    """
+    rows, back = tucked(docs, ["doc_id", "source", "text"])
+    plan = mixed(rows, **options).filter("passes > 0").select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "positions")
+    plan = plan.groupBy("plan_id", "plan_source", "plan_size").agg(F.max("positions").alias("positions"))
+    key = F.col("doc_id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (word_count(F.col("text")) == F.col("plan_size"))
+    rows = rows.join(plan, key).withColumn("position", F.explode("positions"))
+    return back(rows.repartitionByRange(shuffle_width(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id"))
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tucked
 
 NEAR = 40
 BLOCK = 4096
@@ -137,20 +137,23 @@ def _spans(text: Column, finder: Finder) -> Column:
 def with_spans(docs: DataFrame, finders: tuple[Finder, ...] = FINDERS, name: str = "pii") -> DataFrame:
     """docs with an array column of all spans, by kind as listed and then by start. A null text has none.
 
-    Other columns pass through; a column of that name is replaced. Repeated rows each get their spans.
+    Other columns pass through; a column of that name is replaced, and names that begin with _pii_ are the operator's
+    own. Repeated rows each get their spans.
     """
     text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_text", text)
-    columns = {f"_pii_{f.kind}": spans_of(F.col("_text"), f) for f in finders}
-    return out.withColumns(columns).withColumn(name, F.concat(*columns)).drop("_text", *columns)
+    out = docs.withColumn("_pii_text", text)
+    columns = {f"_pii_{f.kind}": spans_of(F.col("_pii_text"), f) for f in finders}
+    return out.withColumns(columns).withColumn(name, F.concat(*columns)).drop("_pii_text", *columns)
 
 
 def redacted(docs: DataFrame, finders: tuple[Finder, ...] = FINDERS) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; spans that overlap go as one, named by the first.
 
-    Pieces between spans are cut from blocks of the text, so a text's cost grows with its length and its spans.
+    Pieces between spans are cut from blocks of the text, so a text's cost grows with its length and its spans. A null
+    text stays null. All other columns pass through, whatever their names.
     """
-    marked = with_spans(docs, finders, "_pii").withColumn("_blocks", F.when(F.size("_pii") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    rows, back = tucked(docs, ["text"])
+    marked = with_spans(rows, finders, "_pii").withColumn("_blocks", F.when(F.size("_pii") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
     marked = marked.withColumn("_pii", F.array_sort(F.transform("_pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
     # A span begins a new cut if it starts at or after the furthest end so far.
     furthest = F.aggregate(
@@ -178,7 +181,7 @@ def redacted(docs: DataFrame, finders: tuple[Finder, ...] = FINDERS) -> DataFram
 
     rest = piece(F.element_at("_cuts", -1)["end"], F.length("text"))
     new = F.when(F.size("_pii") > 0, F.concat(F.array_join(F.transform("_cuts", before), ""), rest)).otherwise(F.col("text"))
-    return marked.withColumn("text", new).select(*docs.columns)
+    return back(marked.withColumn("text", new))
 
 
 def joined(spans: Column) -> Column:

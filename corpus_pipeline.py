@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from clauseflow import ship
 from clauseflow.llm import jaccard, language, mixing, packing, pii
-from clauseflow.llm.common import saved
+from clauseflow.llm.common import saved, tucked
 
 #: The least score of a language that is kept; with equal priors, one language is then likelier than all others together.
 LEAST_SCORE = 0.5
@@ -33,8 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(language.training_rows(docs))
     if not model.languages:  # nothing to learn from, nothing to reject by
         return docs
-    found = language.predict(docs, model, "_lang", "_score")
-    return found.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    rows, back = tucked(docs, ["text"])
+    found = language.predict(rows, model, "_lang", "_score")
+    return back(found.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +49,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     firsts = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min("h").alias("h_any"), F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("h"))).alias("h_own"))
     firsts = firsts.select(F.col("component_id").alias("_id"), F.coalesce("h_own", "h_any").alias("_h"))
     blank = groups.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    key = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_text_hash"] == F.col("_h"))
-    empty = keyed.join(blank, key, "left_semi").drop("_text_hash")
+    rows, back = tucked(docs, ["doc_id", "text"])
+    keyed = rows.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
+    empty = keyed.join(blank, key, "left_semi")
     own = W.partitionBy("doc_id", "_text_hash").orderBy(F.lit(1))
-    kept = keyed.join(firsts, key, "left_semi").withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n", "_text_hash")
-    return kept.unionByName(empty).select(*docs.columns)
+    kept = keyed.join(firsts, key, "left_semi").withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    return back(kept.unionByName(empty))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
