@@ -56,10 +56,13 @@ def subject_items(text: Column) -> Column:
     return F.filter(F.array(address, floor), lambda x: x.isNotNull()).cast(_ITEM)
 
 
-def extract(clauses: DataFrame) -> DataFrame:
-    """All elements in document order: by clause, then kind, then place."""
+ITEMS = {"party": party_items, "amount": amount_items, "date": date_items, "subject": subject_items}
+
+
+def extract(clauses: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """All elements of the kinds in document order: by clause, then kind, then place. seq counts those of the kinds asked for."""
     text = F.coalesce("text", F.lit(""))
-    found = {"_party": party_items(text), "_amount": amount_items(text), "_date": date_items(text), "_subject": subject_items(text)}
+    found = {f"_{k}": ITEMS[k](text) for k in KINDS if k in kinds}
     rows = clauses.select("contract_id", "clause_seq", "clause_id", "block_ids", *[c.alias(n) for n, c in found.items()])
     rows = rows.select("contract_id", "clause_seq", "clause_id", "block_ids", F.posexplode(F.concat(*found)).alias("_i", "_x"))
     order = W.partitionBy("contract_id").orderBy("clause_seq", "_i")

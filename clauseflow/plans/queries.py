@@ -21,8 +21,8 @@ def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analyzed(spark, sf_dir)[2]
 
 
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements.extract(_clauses(spark, sf_dir))
+def _elements(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return elements.extract(_clauses(spark, sf_dir), kinds or elements.KINDS)
 
 
 def clean_text_lines(spark, sf_dir):
@@ -69,7 +69,9 @@ def doc_stats(spark, sf_dir):
 def seeded_corruption(spark, sf_dir):
     """Blocks, clauses and boundaries with faults put in by contract number."""
     blocks, decided, tree = _analyzed(spark, sf_dir)
-    blocks, decided, tree = blocks.select("contract_id", "seq", "block_id"), decided, tree.select("contract_id", "clause_seq", "clause_id", "label", "level", "parent_id", "block_ids")
+    blocks = blocks.select("contract_id", "seq", "block_id").persist()  # eleven checks read these three
+    decided = decided.select("contract_id", "seq", "left_id", "right_id", "confidence").persist()
+    tree = tree.select("contract_id", "clause_seq", "clause_id", "label", "level", "parent_id", "block_ids").persist()
     k = F.col("contract_id")
     first, second = F.col("clause_seq") == 1, F.col("clause_seq") == 2
     blocks = blocks.withColumn("block_id", F.when((k % 6 == 0) & (F.col("seq") == 3), "B0002").otherwise(F.col("block_id")))
@@ -93,15 +95,15 @@ def low_confidence(spark, sf_dir):
 
 
 def money_elements(spark, sf_dir):
-    return _elements(spark, sf_dir).filter("kind = 'amount'").select("contract_id", "role", "normalized", "clause_id", "confidence")
+    return _elements(spark, sf_dir, "amount").select("contract_id", "role", "normalized", "clause_id", "confidence")
 
 
 def date_elements(spark, sf_dir):
-    return _elements(spark, sf_dir).filter("kind = 'date'").groupBy("contract_id", F.col("normalized").alias("day")).agg(F.count("*").alias("n"))
+    return _elements(spark, sf_dir, "date").groupBy("contract_id", F.col("normalized").alias("day")).agg(F.count("*").alias("n"))
 
 
 def party_elements(spark, sf_dir):
-    return _elements(spark, sf_dir).filter("kind = 'party'").select("contract_id", "role", F.col("value").alias("name"))
+    return _elements(spark, sf_dir, "party").select("contract_id", "role", F.col("value").alias("name"))
 
 
 def element_counts(spark, sf_dir):
@@ -109,7 +111,7 @@ def element_counts(spark, sf_dir):
 
 
 def merge_amounts(spark, sf_dir):
-    return elements.merge_amounts(_elements(spark, sf_dir)).select("contract_id", "normalized", "role")
+    return elements.merge_amounts(_elements(spark, sf_dir, "amount")).select("contract_id", "normalized", "role")
 
 
 def merge_elements(spark, sf_dir):
@@ -118,7 +120,7 @@ def merge_elements(spark, sf_dir):
 
 def amount_conflicts(spark, sf_dir):
     """The flagship: contracts whose part payments don't add up, out of their text."""
-    return checks.check_amounts(_elements(spark, sf_dir)).select("contract_id", "code", "severity", "confidence")
+    return checks.check_amounts(_elements(spark, sf_dir, "amount")).select("contract_id", "code", "severity", "confidence")
 
 
 def date_reversals(spark, sf_dir):
@@ -126,7 +128,7 @@ def date_reversals(spark, sf_dir):
 
 
 def party_conflicts(spark, sf_dir):
-    return checks.check_parties(_elements(spark, sf_dir)).select("contract_id", "message", "severity")
+    return checks.check_parties(_elements(spark, sf_dir, "party")).select("contract_id", "message", "severity")
 
 
 def reference_conflicts(spark, sf_dir):
@@ -134,8 +136,9 @@ def reference_conflicts(spark, sf_dir):
 
 
 def finding_rollup(spark, sf_dir):
-    tree = _clauses(spark, sf_dir)
-    return checks.rollup(checks.findings(tree, elements.extract(tree)))
+    tree = _clauses(spark, sf_dir).select("contract_id", "clause_seq", "clause_id", "label", "text", "block_ids").persist()
+    found = elements.extract(tree, ("party", "amount")).persist()  # read by two checks each
+    return checks.rollup(checks.findings(tree, found))
 
 
 def element_signals(spark, sf_dir):
