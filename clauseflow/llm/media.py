@@ -226,4 +226,5 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Each document as a page whose only figure is its payload.
     html = F.format_string('<figure><img src="sha256:%s"><figcaption>%s</figcaption></figure>', F.col("digest"), F.col("doc_id").cast("string"))
     refs = references(interleaved(store.select("doc_id", "n_bytes", html.alias("html")))).select("doc_id", "n_bytes", "digest")
-    return refs.join(read_media(store), "digest").drop("digest")
+    # Written first, so that the join is of two plain exchanges and a hot digest's references can be split.
+    return refs.join(saved(read_media(store), "features"), "digest").drop("digest")
