@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, table
+from .common import crc32_of_id, saved, table
 from .words import Recent, held, split_words
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -228,6 +228,7 @@ def fit(docs: DataFrame, vocab_path: str | None = None, sample_docs: int = SAMPL
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.string())], ["lang", "word"])
 
     words = chosen.select("lang", "text").mapInArrow(count, "lang string, word string").groupBy("lang", "word").count()
+    words = saved(words, "language-words")  # read once for each language, made once
     languages = sorted(counts)
     columns = []
     for lang in languages:
