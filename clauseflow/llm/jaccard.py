@@ -56,7 +56,7 @@ def token_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.unique(Ranges(hashes, 0).of(at, at + k) ^ np.uint64(0 if k == shingle else k))
 
 
-def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The tokens that most texts share, ascending, and how many were counted; at most FREQUENT of them."""
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -68,7 +68,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
         for part in chunks(batches):
-            for tokens in token_sets(part.column("text")):
+            for tokens in token_sets(part.column("text"), shingle):
                 held.append(tokens)
                 size += len(tokens)
             if size >= RUN:
@@ -86,9 +86,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def prefixes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """For each row: n, c1 and c2 (the set's hash), g (of prefix and size), prefix, counts (tokens by bucket, u16)."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs))  # at most FREQUENT pairs of numbers
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, shingle))  # at most FREQUENT pairs of numbers
 
     def cut(batches: Iterator[pa.RecordBatch]):
         common, often = sent.value
@@ -96,7 +96,7 @@ def prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         for part in chunks(batches):
             out: list[list] = [[] for _ in names]
-            for tokens in token_sets(part.column("text")):
+            for tokens in token_sets(part.column("text"), shingle):
                 whole = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 c1, c2 = np.array([whole >> 64, whole & (1 << 64) - 1], np.uint64).view(np.int64).tolist()
                 rank = np.zeros(len(tokens), np.int64)
@@ -137,7 +137,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(keep, "a long, b long, bound double")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the similarity; sets are made again from one text of each."""
     pairs = saved(pairs.select("a", "b").distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -145,7 +145,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
 
     def sets(batches: Iterator[pa.RecordBatch]):
         for part in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([t.tobytes() for t in token_sets(part.column("text"))], pa.binary())], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([t.tobytes() for t in token_sets(part.column("text"), shingle)], pa.binary())], ["node", "tokens"])
 
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["h"] == F.col("_h"))).select("node", "text")
     held = saved(texts.mapInArrow(sets, "node long, tokens binary"), "sets")
@@ -189,14 +189,14 @@ def _labelled(frame: DataFrame, labels: DataFrame, node: str, name: str) -> Data
     return frame.join(found, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """For each row (doc_id, text): doc_id, h (text hash), n_shingles, component_id (least doc_id of its component).
 
-    Two rows are linked if their sets' Jaccard similarity is at least percent / 100. A null, empty or blank text has no
+    Two rows are linked if the Jaccard similarity of their sets of `shingle` words is at least percent / 100. A null, empty or blank text has no
     set, links with nothing and is its own component. A component without any id has a null one.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = saved(prefixes(docs, percent), "prefixes")
+    rows = saved(prefixes(docs, percent, shingle), "prefixes")
     found = rows.filter("n > 0")
     classes = found.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h")).alias("holder"), F.min("doc_id").alias("least_id"), F.min("n").alias("n"), F.min("g").alias("g"), F.min("counts").alias("counts"))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -213,7 +213,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # First links: with the least class of the own group, and with centres of the blocks.
     own = classes.join(groups.filter("members > 1").select("g", "least"), "g").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    links = verified(possible(own, classes, percent), classes, docs, percent)
+    links = verified(possible(own, classes, percent), classes, docs, percent, shingle)
     few = W.partitionBy("least").orderBy("place")
     near = saved(blocks.select("token", "least", "n", "place").withColumn("_k", F.row_number().over(few)).filter(F.col("_k") <= STAR_TOKENS).drop("_k"), "near")
     labels = components(links)
@@ -222,7 +222,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         bounded = possible(stars, classes, percent)
         surest = W.partitionBy("b").orderBy(F.desc("bound"), "a")
         chosen = bounded.withColumn("_k", F.row_number().over(surest)).filter(F.col("_k") <= STAR_PARTNERS).select("a", "b")
-        found_now = verified(chosen, classes, docs, percent)
+        found_now = verified(chosen, classes, docs, percent, shingle)
         if found_now.isEmpty():
             break
         links = saved(links.unionByName(found_now), "links")
@@ -254,7 +254,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mixed_groups = label_of.filter("low < high").select(F.col("g").alias("g1"))
     inside = mixed_groups.join(member("g1", "a"), "g1").join(member("g1", "b"), "g1").filter("a < b and a_label <> b_label")
     rest = between.select("a", "b").unionByName(inside.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(possible(rest, classes, percent), classes, docs, percent)
+    more = verified(possible(rest, classes, percent), classes, docs, percent, shingle)
     labels = components(links.unionByName(more))
 
     classes = _labelled(classes.select("c1", "c2", "node", "least_id"), labels, "node", "label")

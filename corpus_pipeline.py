@@ -25,6 +25,8 @@ from clauseflow.llm.common import saved, tucked
 
 #: The least score of a language that is kept; with equal priors, one language is then likelier than all others together.
 LEAST_SCORE = 0.5
+#: Near copies share so many hundredths of their shingles of so many words.
+COPY_PERCENT, COPY_SHINGLE = 80, 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are no copies of each other and all stay. A group without any id keeps one of its rows.
     """
     ship(spark)
-    groups = saved(jaccard.similar_components(docs), "groups")
+    groups = saved(jaccard.similar_components(docs, COPY_PERCENT, COPY_SHINGLE), "groups")
     # The join names a component by its least id; its first text of that id (by hash) is the one that stays.
     firsts = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min("h").alias("h_any"), F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("h"))).alias("h_own"))
     firsts = firsts.select(F.col("component_id").alias("_id"), F.coalesce("h_own", "h_any").alias("_h"))

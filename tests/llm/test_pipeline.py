@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, on small tables."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import numpy as np
 
 import corpus_pipeline
 from clauseflow.llm import pii, tokens
-from test_operators import PII, SF, brute_components, passes, plain, table
+from test_operators import PII, SF, WORD, brute_components, passes, plain, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,3 +75,39 @@ def test_empty_table(spark, tmp_path):
     sf = table(spark, tmp_path / "t", [])
     assert all(d.isEmpty() for d in staged(spark, sf, tmp_path)) and corpus_pipeline.run(spark, sf).isEmpty()
     assert plain(spark, sf) == []
+
+
+def five_word_components(rows):
+    """The least id of each document's component by links of 5-word Jaccard similarity 0.8, one pair at a time."""
+    words = [WORD.findall(t.lower()) for _, t in rows]
+    sets = [{tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} for w in words]
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [y if v == x else v for v in label]
+    least = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        least[x] = min(least.get(x, i), i)
+    return set(least.values())
+
+
+def test_near_copies_by_five_words(spark, tmp_path):
+    draw = random.Random(11)
+    rows = []
+    for size in (3, 4, 5, 6, 30, 60, 100, 150, 200):
+        base = [f"w{draw.randint(0, 5000)}" for _ in range(size)]
+        for changes in (0, 0, 1, 2, 3, 5, 8):
+            words = list(base)
+            for _ in range(changes):
+                words[draw.randrange(size)] = f"x{draw.randint(0, 5000)}"
+            rows.append((len(rows), " ".join(words), "en", "a"))
+    # One changed word of 50: 3-word similarity 45/51, 5-word 41/51; both below 0.9, the second at least 0.8.
+    one = [f"v{i}" for i in range(50)]
+    rows += [(900, " ".join(one), "en", "a"), (901, " ".join([*one[:25], "other", *one[26:]]), "en", "a")]
+    sf = table(spark, tmp_path / "t", rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == five_word_components(plain(spark, sf))
+    assert 900 in kept and 901 not in kept
