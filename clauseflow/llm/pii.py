@@ -1,7 +1,9 @@
 """Personal data by regular expressions, checksums and context, in DataFrame functions only.
 
 Each kind proposes spans by a pattern, leftmost first and not overlapping. A check confirms a span: at most 255 in
-each part of an address, Luhn for cards, a digit count for phones, mod 97 for IBANs. A span's score is its kind's own,
+each part of an address, Luhn for cards, a digit count for phones, mod 97 for IBANs. IBANs are proposed from every
+word start with the length of their country, so that what follows or stands before one can't hide it; of those that
+pass and overlap, the first stays. A span's score is its kind's own,
 raised by context words near it; kinds with Finder.least keep spans that reach it, base kinds keep all that pass.
 
 Patterns begin only where a run of their first signs begins, or where the last match ended (\\G): every other place
@@ -76,9 +78,18 @@ class Finder:
     score: float
     context: str  # words that raise the score, as a pattern
     least: float = 0.0  # of the score; 0 keeps all that pass the check
+    ahead: bool = False  # the pattern is a lookahead whose group 1 is the span: proposals may overlap
 
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Signs of an IBAN by country: the ISO 13616 registry, and countries that use the form without an entry there.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_OTHER = rf"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{1,4}}){{3,8}}"
 BASE = (
     Finder("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", _none, 0.9, "mail|contact|@"),
     Finder("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", is_address, 0.6, "ip|addr|host|server"),
@@ -86,7 +97,7 @@ BASE = (
     Finder("phone", r"\+[0-9][\x20().0-9-]+[0-9]", is_phone, 0.7, "tel|phone|call|fax|mobil"),
 )
 ADDED = (
-    Finder("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}\b", mod97, 0.9, "iban|bank|konto|compte|cuenta", 0.9),
+    Finder("iban", rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_KNOWN}|{_OTHER})\b))", mod97, 0.9, "iban|bank|konto|compte|cuenta", 0.9, True),
     Finder("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", is_ssn, 0.4, "ssn|social security|tax id", 0.7),
 )
 FINDERS = BASE + ADDED
@@ -103,8 +114,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _spans(text: Column, finder: Finder) -> Column:
-    found = F.regexp_extract_all(text, F.lit(finder.pattern), F.lit(0))
-    gaps = F.split(text, finder.pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(finder.pattern), F.lit(int(finder.ahead)))
+    # A lookahead takes no signs, so gaps run from proposal to proposal. One at the very start would leave no gap
+    # before it; so a sign goes before the text.
+    gaps = F.split(F.concat(F.lit("\n"), text), finder.pattern, -1) if finder.ahead else F.split(text, finder.pattern, -1)
+    taken = (lambda m: F.lit(0)) if finder.ahead else F.length
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
     pairs = F.filter(pairs, lambda x: x["m"].isNotNull())  # there is one gap more than matches
     nothing = F.array().cast("array<struct<start:int,end:int,m:string>>")
@@ -112,18 +126,20 @@ def _spans(text: Column, finder: Finder) -> Column:
     def step(acc, x):
         start = acc["at"] + x["gap"]
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
+        return F.struct((start + taken(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
     def cut(ps):  # offsets are running sums; blocks of 64 matches keep their cost in proportion
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / 64).cast("int")), lambda b: F.slice(ps, b * 64 + 1, F.lit(64)))
 
     def locate(blocks):
-        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["m"])))
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + taken(x["m"])))
         begins = let(lengths, lambda ls: F.transform(ls, lambda _, i: F.aggregate(F.slice(ls, F.lit(1), i), F.lit(0), lambda a, x: a + x)))
-        return F.flatten(F.zip_with(blocks, begins, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])))
+        return F.flatten(F.zip_with(blocks, begins, lambda b, at: F.aggregate(b, F.struct((at - int(finder.ahead)).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])))
 
     located = let(let(pairs, cut), locate)
     passed = F.filter(located, lambda x: finder.check(x["m"]))
+    if finder.ahead:
+        passed = F.aggregate(passed, nothing, lambda out, x: F.when((F.size(out) > 0) & (x["start"] < F.element_at(out, -1)["end"]), out).otherwise(F.concat(out, F.array(x))))
 
     def rated(x):
         near = F.lower(F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR) + x["end"] - x["start"]))

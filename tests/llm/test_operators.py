@@ -209,6 +209,25 @@ def test_pii_and_redaction(spark, tmp_path):
     assert kinds == {"email", "ip", "card", "phone", "iban", "ssn"}
 
 
+def test_ibans_beside_capitals_and_digits(spark, tmp_path):
+    cases = [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+        ("IBAN DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("IBAN GB82 WEST 1234 5698 7654 32 EUR 500", ["GB82 WEST 1234 5698 7654 32"]),
+        ("DE89370400440532013000 GB82WEST12345698765432 NO93 8601 1117 947 X", ["DE89370400440532013000", "GB82WEST12345698765432", "NO93 8601 1117 947"]),
+        ("é😀 REF AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+        ("BE12 DE89 3704 0044 0532 0130 00 \nMT84 MALT 0110 0001 2345 MTLC AST0 01S", ["DE89 3704 0044 0532 0130 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]),
+        ("DE89370400440532013001 DE893704004405320130000 xDE89370400440532013000", []),
+        ("GB82 WEST 1234 5698 7654 32 BIC ABCD " * 200, ["GB82 WEST 1234 5698 7654 32"] * 200),
+    ]
+    sf = table(spark, tmp_path, [(i, text, "en", "a") for i, (text, _) in enumerate(cases)])
+    got = {r["doc_id"]: r["spans"] for r in pii.op4_pii(spark, sf).collect()}
+    for i, (text, want) in enumerate(cases):
+        spans = [x.split(":") for x in got[i].split(",") if x.startswith("iban:")]
+        assert [text[int(a) : int(b)] for _, a, b in spans] == want
+    assert pii.redacted(spark.createDataFrame([(cases[0][0],)], "text string")).first()["text"] == "IBAN [IBAN] BIC COBADEFF"
+
+
 def test_media_round_trip(spark, odd):
     got = {r["doc_id"]: r for r in media.op5_media(spark, odd).collect()}
     for i, text in plain(spark, odd):
