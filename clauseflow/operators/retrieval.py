@@ -41,9 +41,12 @@ def ranked(scored: DataFrame, limit: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def sparse_topk(index: DataFrame, queries: DataFrame, limit: int = CANDIDATES, repeats: bool = False) -> DataFrame:
-    """BM25 by equi-join on the token and a sum; a query without a known token has no row."""
-    hits = index.join(query_tokens(queries, repeats), "token")
+def sparse_topk(index: DataFrame, queries: DataFrame, limit: int = CANDIDATES, repeats: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """BM25 by equi-join on the token and a sum; a query without a known token has no row.
+
+    among: the ids that may be ranked. Weights stay those of the index over the whole corpus.
+    """
+    hits = (index if among is None else index.join(among.select("id").distinct(), "id", "left_semi")).join(query_tokens(queries, repeats), "token")
     return ranked(hits.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("times")).alias("score")), limit)
 
 
@@ -76,8 +79,10 @@ def allowed(corpus: DataFrame, types: list[str] | None, column: str = "contract_
     return corpus if not types else corpus.filter(F.arrays_overlap(F.col(column), F.array(*map(F.lit, types))))
 
 
-def hybrid(index: DataFrame, vectors: DataFrame, text_queries: DataFrame, vector_queries: DataFrame, candidates: int = CANDIDATES, top_k: int = TOP_K, k: int = FUSION_K) -> DataFrame:
-    return fuse(sparse_topk(index, text_queries, candidates), dense_topk(vectors, vector_queries, candidates), k=k, top_k=top_k)
+def hybrid(index: DataFrame, vectors: DataFrame, text_queries: DataFrame, vector_queries: DataFrame, candidates: int = CANDIDATES, top_k: int = TOP_K, k: int = FUSION_K, among: DataFrame | None = None) -> DataFrame:
+    if among is not None:
+        vectors = vectors.join(among.select("id").distinct(), "id", "left_semi")
+    return fuse(sparse_topk(index, text_queries, candidates, among=among), dense_topk(vectors, vector_queries, candidates), k=k, top_k=top_k)
 
 
 def evaluate(results: DataFrame, gold: DataFrame, k: int, by: list[str]) -> DataFrame:

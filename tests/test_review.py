@@ -68,6 +68,18 @@ def test_bm25_and_fusion(spark):
     assert [r["id"] for r in retrieval.fuse(*legs).orderBy("rank").collect()] == ["a", "b", "c", "d"]
 
 
+def test_filter_keeps_the_weights_of_the_whole_corpus(spark):
+    docs = spark.createDataFrame([("a", "定金不得超过百分之二十", ["x"]), ("b", "租赁期限不得超过二十年", ["y"]), ("c", "定金协商一致", ["y"])], "id string, text string, contract_types array<string>")
+    queries = spark.createDataFrame([("q", "定金超过百分之二十")], "query_id string, text string")
+    index, among = retrieval.postings(docs.select("id", "text")), retrieval.allowed(docs, ["y"])
+    whole = {r["id"]: r["score"] for r in retrieval.sparse_topk(index, queries).collect()}
+    found = retrieval.sparse_topk(index, queries, 2, among=among).orderBy("rank").collect()
+    assert {r["id"]: r["score"] for r in found} == {i: whole[i] for i in "bc"} and [r["rank"] for r in found] == [1, 2]
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.6, 0.8])], "id string, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    assert {r["id"] for r in retrieval.hybrid(index, vectors, queries, asked, among=among).collect()} == {"b", "c"}
+
+
 def test_tags(spark):
     old = spark.createDataFrame([("1", ["a", "b", "b"]), ("2", None)], "u string, tags array<string>")
     new = spark.createDataFrame([("1", ["b", "c"])], "u string, tags array<string>")
