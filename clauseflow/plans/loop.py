@@ -33,7 +33,8 @@ def run_review(tree: DataFrame, ask: Asker, search: Callable[[DataFrame], DataFr
 
     ask: a model, by schema name. search: (contract_id, candidate_id, text) to the articles found (contract_id,
     article_uid, law_name, article_no, source_url). Candidates without a verdict are asked about again with another
-    search text; a judge that fails is asked again, and at last all candidates stay for review. The tables that a later
+    search text; a judge that fails is asked again about the contracts without an answer, and at last all their candidates stay
+    for review. The tables that a later
     turn reads are written or checkpointed by the caller's ask.
     """
     limits = limits or Limits()
@@ -49,7 +50,7 @@ def run_review(tree: DataFrame, ask: Asker, search: Callable[[DataFrame], DataFr
     open_ones, applied = merged, None
     for turn in range(limits.legal_retries + 1):
         queries = review.law_queries(open_ones, tree, retry=turn > 0)
-        pool = search(queries)
+        pool = search(queries).drop("candidate_id")
         answers = ask("legal_application_verdict", queries)
         verdicts = answers.select("contract_id", F.explode(F.from_json("response", review.VERDICTS)["verdicts"]).alias("v")).select("contract_id", "v.*").filter(F.col("assessment").isin(*P.ASSESSMENTS))
         now = review.applications(open_ones, verdicts, pool)
@@ -60,13 +61,16 @@ def run_review(tree: DataFrame, ask: Asker, search: Callable[[DataFrame], DataFr
                 break
             counters["legal_retries"] += 1
 
-    risks = answers = None
+    asked = unheard = merged.join(applied, ["contract_id", "candidate_id"])
+    parsed = None
     for _ in range(limits.judge_retries + 1):
-        answers = ask("final_adjudication", merged.join(applied, ["contract_id", "candidate_id"]))
-        if not answers.filter("response is not null").isEmpty():
+        answers = ask("final_adjudication", unheard).join(unheard.select("contract_id").distinct(), "contract_id", "left_semi")
+        now = answers.select("contract_id", F.from_json("response", review.DECISIONS).alias("r")).filter("r.verdicts is not null")
+        parsed = now if parsed is None else parsed.unionByName(now)
+        unheard = asked.join(parsed.select("contract_id").distinct(), "contract_id", "left_anti")
+        if unheard.isEmpty():
             break
         counters["judge_retries"] += 1
-    parsed = answers.select("contract_id", F.from_json("response", review.DECISIONS).alias("r")).filter("r is not null")
     heard = parsed.select("contract_id").distinct()
     decisions = parsed.select("contract_id", F.explode("r.verdicts").alias("v")).select("contract_id", "v.*")
     risks = review.adjudicate(merged.join(heard, "contract_id", "left_semi"), decisions, applied).unionByName(review.fallback(merged.join(heard, "contract_id", "left_anti")))

@@ -2,6 +2,7 @@ import random
 
 from clauseflow.operators import retrieval, review, segment, transport
 from clauseflow.operators.fold import packed_by_budget
+from clauseflow.plans import loop
 
 CANDIDATE = "contract_id string, candidate_id string, seq int, code string, severity string, message string, clause_ids array<string>, block_ids array<string>, evidence array<string>, confidence double, source string"
 
@@ -80,6 +81,33 @@ def test_filter_keeps_the_weights_of_the_whole_corpus(spark):
     assert {r["id"] for r in retrieval.hybrid(index, vectors, queries, asked, among=among).collect()} == {"b", "c"}
 
 
+def test_judge_is_asked_again_by_contract(spark):
+    import json
+
+    block = "array<string>"
+    tree = spark.createDataFrame([(c, 1, "C0001", "一", "", "付款", "甲方应付款。", 1, None, ["B0001"]) for c in ("good", "late", "bad")], f"contract_id string, clause_seq int, clause_id string, label string, title string, heading string, text string, level int, parent_id string, block_ids {block}")
+    risk = json.dumps({"risks": [{"code": "zero_rent", "severity": "high", "clause_id": "C0001", "reason": "r", "evidence": "e"}]})
+    heard = json.dumps({"verdicts": [{"candidate_id": "KC0001", "keep": True, "severity": "low", "review_required": False, "rationale": "why"}], "overall_assessment": "high_risk", "overall_score": 40})
+    turns = []
+
+    def ask(schema, rows):
+        ids = sorted(r[0] for r in rows.select("contract_id").distinct().collect())
+        if schema == "final_adjudication":
+            turns.append(ids)
+            said = [(c, 0, heard if c == "good" and len(turns) == 1 or c == "late" and len(turns) == 2 else None) for c in ids]
+        else:
+            said = [(c, 0, risk if schema == "clause_risk_review" else None) for c in ids]
+        return spark.createDataFrame(said, "contract_id string, batch int, response string")
+
+    def search(queries):
+        return spark.createDataFrame([], "contract_id string, candidate_id string, article_uid string, law_name string, article_no string, source_url string")
+
+    done = loop.run_review(tree, ask, search)
+    assert turns == [["bad", "good", "late"], ["bad", "late"]] and done.counters["judge_retries"] == 2
+    assert {r["contract_id"]: r["confidence"] for r in done.risks.collect()} == {"good": 0.9, "late": 0.9, "bad": 0.5}
+    assert {r["contract_id"]: r["overall_assessment"] for r in done.overall.collect()} == {"good": "high_risk", "late": "high_risk", "bad": "unknown"}
+
+
 def test_tags(spark):
     old = spark.createDataFrame([("1", ["a", "b", "b"]), ("2", None)], "u string, tags array<string>")
     new = spark.createDataFrame([("1", ["b", "c"])], "u string, tags array<string>")
