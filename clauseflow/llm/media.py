@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, tucked
 from .words import chunks
 
 ROW_BYTES = 192  # 64 RGB pixels
@@ -94,8 +94,10 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.skip = 0
-        self.figures: list[int] = []  # where each open figure's items begin
-        self.caption: list[str] | None = None
+        self.figures: list[dict] = []  # open ones: where their items begin, their captions, where the first of these stands
+        self.caption: list[str] | None = None  # of the figure self.owner
+        self.owner: dict | None = None
+        self.named: set[int] = set()  # items that have a figure's caption
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -103,15 +105,44 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            if caption := " ".join("".join(self.caption).split()):
+                self.owner["captions"].append(caption)
+            self.caption = self.owner = None
+
+    def end_figure(self) -> None:
+        """The figure's captions go to its media that have none of an inner figure; without any they are a text."""
+        if self.owner is self.figures[-1]:
+            self.end_caption()
+        self.flush()
+        figure = self.figures.pop()
+        caption = " ".join(figure["captions"])
+        media = [item for item in self.items[figure["begin"] :] if item["kind"] == "media" and id(item) not in self.named]
+        for item in media if caption else ():
+            item["caption"] = caption
+            self.named.add(id(item))
+        if caption and not media:
+            self.items.insert(figure["at"], {"kind": "text", "text": caption, "digest": None, "caption": None})
+
+    def finish(self) -> None:
+        self.end_caption()
+        while self.figures:
+            self.end_figure()
+        self.flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style", "noscript", "template"):
             self.skip += 1
         if tag in self.BLOCKS:
             self.flush()
         if tag == "figure":
-            self.figures.append(len(self.items))
-        elif tag == "figcaption":
-            self.caption = []
+            self.figures.append({"begin": len(self.items), "captions": [], "at": len(self.items)})
+        elif tag == "figcaption" and self.figures:  # outside a figure it is text
+            self.end_caption()
+            self.caption, self.owner = [], self.figures[-1]
+            if not self.owner["captions"]:
+                self.owner["at"] = len(self.items)
         elif tag in self.MEDIA and not self.skip:
             found = dict(attrs)
             if src := (found.get("src") or "").strip():
@@ -128,16 +159,12 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style", "noscript", "template"):
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] == "media" and caption:
-                    item["caption"] = caption
+        elif tag == "figcaption":
+            self.end_caption()
         if tag in self.BLOCKS:
             self.flush()
         if tag == "figure" and self.figures:
-            self.figures.pop()
+            self.end_figure()
 
     def handle_data(self, data):
         if not self.skip:
@@ -150,7 +177,7 @@ def sequence_of(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html)
     parser.close()
-    parser.flush()
+    parser.finish()
     return [{"position": i, **item} for i, item in enumerate(parser.items)]
 
 
@@ -176,13 +203,25 @@ def references(sequences: DataFrame, name: str = "sequence") -> DataFrame:
 
 
 def resolved(sequences: DataFrame, payloads: DataFrame, key: str, name: str = "sequence") -> DataFrame:
-    """Sequences by key with each item's payload columns joined by digest (null where none has it), aligned by position."""
-    items = sequences.select(key, F.explode(name).alias("item"))
-    held = payloads.dropDuplicates(["digest"]).select(F.col("digest").alias("_digest"), F.struct(*[c for c in payloads.columns if c != "digest"]).alias("payload"))
+    """sequences with each item's payload columns joined by digest (null where none has it), aligned by position.
+
+    Every row stays, with all its columns: one whose key is null or that others have, too, and one with an empty or
+    null sequence. Rows are numbered and written first, so that their items come back to their own row.
+    """
+    if key not in sequences.columns:
+        raise ValueError(f"no column {key}")
+    rows, back = tucked(sequences, [name])
+    rows = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "sequences")
+    items = rows.select("_row", F.explode(name).alias("item"))
+    # Written first, so that the join is of two plain exchanges and a hot digest's references can be split.
+    held = saved(payloads.dropDuplicates(["digest"]), "payloads").select(F.col("digest").alias("_digest"), F.struct(*[c for c in payloads.columns if c != "digest"]).alias("payload"))
     media = items.filter(F.col("item.digest").isNotNull()).join(held, F.col("item.digest") == F.col("_digest"), "left").drop("_digest")
     rest = items.filter(F.col("item.digest").isNull()).withColumn("payload", F.lit(None).cast(held.schema["payload"].dataType))
-    whole = media.unionByName(rest).groupBy(key).agg(F.collect_list(F.struct(F.col("item.position").alias("position"), "item", "payload")).alias(name))
-    return whole.withColumn(name, F.array_sort(name, lambda a, b: a["position"] - b["position"]))
+    whole = media.unionByName(rest).groupBy("_row").agg(F.collect_list(F.struct(F.col("item.position").alias("position"), "item", "payload")).alias("_whole"))
+    whole = whole.withColumn("_whole", F.array_sort("_whole", lambda a, b: a["position"] - b["position"]))
+    empty = F.array().cast(whole.schema["_whole"].dataType)
+    out = rows.withColumn("_items", F.col(name)).drop(name).join(whole, "_row", "left")
+    return back(out.withColumn(name, F.coalesce("_whole", F.when(F.col("_items").isNotNull(), empty))))
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
@@ -225,6 +264,6 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = stored_texts(table(spark, sf_dir, "documents"))
     # Each document as a page whose only figure is its payload.
     html = F.format_string('<figure><img src="sha256:%s"><figcaption>%s</figcaption></figure>', F.col("digest"), F.col("doc_id").cast("string"))
-    refs = references(interleaved(store.select("doc_id", "n_bytes", html.alias("html")))).select("doc_id", "n_bytes", "digest")
-    # Written first, so that the join is of two plain exchanges and a hot digest's references can be split.
-    return refs.join(saved(read_media(store), "features"), "digest").drop("digest")
+    pages = interleaved(store.select("doc_id", "n_bytes", html.alias("html"))).drop("html")
+    items = resolved(pages, read_media(store), "doc_id").select("doc_id", "n_bytes", F.explode("sequence").alias("x"))
+    return items.filter("x.item.kind = 'media'").select("doc_id", "n_bytes", "x.payload.*", "x.position", "x.item.caption")

@@ -249,6 +249,30 @@ def test_interleaved_html(spark):
     assert [x["payload"]["bytes"] if x["payload"] else None for x in whole[0]["sequence"]] == [None, 7, None, None]
 
 
+def test_resolved_keeps_every_row(spark):
+    img = lambda c: f'<img src="sha256:{c * 64}">'
+    pages = spark.createDataFrame([(1, img("a") + "x", "p"), (1, img("b"), "q"), (None, img("a"), "r"), (None, None, "s"), (3, "", "t"), (4, "<p> </p>", "u")], "page_id long, html string, url string")
+    payloads = spark.createDataFrame([("a" * 64, 7), ("b" * 64, 8)], "digest string, bytes int")
+    whole = media.resolved(media.interleaved(pages), payloads, "page_id")
+    assert whole.columns == ["page_id", "html", "url", "sequence"]
+    rows = {r["url"]: r for r in whole.collect()}
+    assert {u: (r["page_id"], [x["payload"] and x["payload"]["bytes"] for x in r["sequence"]]) for u, r in rows.items()} == {"p": (1, [7, None]), "q": (1, [8]), "r": (None, [7]), "s": (None, []), "t": (3, []), "u": (4, [])}
+
+
+def test_captions_lose_nothing():
+    shown = lambda html: [(x["kind"], x["text"], x["caption"]) for x in media.sequence_of(html)]
+    assert shown('<figure><figcaption>first</figcaption><img src="u"></figure>') == [("media", "u", "first")]
+    assert shown('<figure><img src="u"><figcaption>open</figure>after') == [("media", "u", "open"), ("text", "after", None)]
+    assert shown('<figure><img src="u"><figcaption>open <b>end</b>') == [("media", "u", "open end")]
+    assert shown("a<figure><figcaption>alone</figcaption>b</figure>c") == [("text", x, None) for x in ("a", "alone", "b", "c")]
+    assert shown("<figcaption>no figure</figcaption>c") == [("text", "no figure", None), ("text", "c", None)]
+    assert shown('<figure><figure><img src="u"><figcaption>in</figcaption></figure><img src="v"><figcaption>out</figcaption></figure>') == [("media", "u", "in"), ("media", "v", "out")]
+
+
+def test_media_query_gives_position_and_caption(spark, odd):
+    assert {(r["position"], r["caption"] == str(r["doc_id"])) for r in media.op5_media(spark, odd).collect()} == {(0, True)}
+
+
 def test_substring_dedup(spark, odd, tmp_path):
     draw = random.Random(5)
     base = [[draw.choice("abcdefgh") + str(draw.randint(0, 40)) for _ in range(200)] for _ in range(4)]
