@@ -1,4 +1,4 @@
-"""Model-assisted segmentation: batches of blocks, answers repaired into segments, damaged windows asked again.
+"""Model-assisted segmentation: batches of blocks, answers repaired into segments. Damaged windows are found, not asked again.
 
 Segments of a contract are an ordered partition of its blocks: every block is in exactly one, whatever a model answers.
 The repairs depend on the order of answers, so they run contract by contract in Python on ids alone, no text.
