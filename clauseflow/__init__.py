@@ -15,6 +15,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package's Python files to the executors, once for each Spark application."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")  # whole texts are wide rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # a batch lies in the JVM and in Python
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         here = Path(__file__).resolve().parent
