@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -34,7 +34,9 @@ HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
 SHARD_IDS = 1 << 22
 READ_IDS = 1 << 19
-CACHE_WORDS = 250_000
+CACHE_WORDS = 180_000
+#: Bytes of text that are split into words at once: what is made of them is several times as large.
+CHUNK = 2 << 20
 #: Signs that the pre-tokenizer parts from letters before them.
 TAILS = ".,;:!?$%&*#)]}\"'|-"
 
@@ -122,7 +124,7 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids as u32 bytes) of each row of Arrow batches with doc_id and text; a null text is empty."""
     encode = encoder(path)
-    for part in chunks(batches, rows=2048, size=8 << 20):
+    for part in chunks(batches, rows=2048, size=CHUNK):
         yield from zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True)
 
 
@@ -146,23 +148,54 @@ def unpack_block(data, count: int, bits: int) -> np.ndarray:
     return flat.astype(np.uint32) @ weights
 
 
+class ShardBuilder:
+    """A shard in the making: full blocks are packed as they come, so that it holds little more than the file's bytes."""
+
+    def __init__(self, bits: int, block: int = BLOCK):
+        self.bits, self.block, self.n_ids = bits, block, 0
+        self.doc_ids: list[int | None] = []
+        self.counts: list[int] = []
+        self.packed: list[bytes] = []
+        self.rest: list[bytes] = []  # ids of the block that isn't full yet
+        self.held = 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        self.doc_ids.append(doc_id)
+        self.counts.append(len(ids) // 4)
+        self.n_ids += len(ids) // 4
+        self.rest.append(ids)
+        self.held += len(ids) // 4
+        if self.held >= self.block:
+            self._pack(self.held - self.held % self.block)
+
+    def _pack(self, count: int) -> None:
+        ids = np.frombuffer(b"".join(self.rest), "<u4")
+        if len(ids) and int(ids.max()) >> self.bits:
+            raise ValueError(f"an id needs more than {self.bits} bits")
+        self.packed += [pack_block(ids[at : min(at + self.block, count)], self.bits) for at in range(0, count, self.block)]
+        self.rest, self.held = [ids[count:].tobytes()], len(ids) - count
+
+    def parts(self) -> Iterator[bytes]:
+        """The file's bytes, part by part; nothing can be added after it."""
+        if self.held:
+            self._pack(self.held)
+        starts = np.zeros(len(self.counts) + 1, "<u8")
+        np.cumsum(self.counts, out=starts[1:])
+        offsets = np.zeros(len(self.packed) + 1, "<u8")
+        np.cumsum([len(p) for p in self.packed], out=offsets[1:])
+        yield HEAD.pack(MAGIC, self.bits, self.block, len(self.counts), self.n_ids, len(self.packed))
+        yield np.array([d or 0 for d in self.doc_ids], "<i8").tobytes()
+        yield np.array([d is None for d in self.doc_ids], "u1").tobytes()
+        yield starts.tobytes()
+        yield offsets.tobytes()
+        yield from self.packed
+
+
 def shard_bytes(doc_ids: list[int | None], parts: list[bytes], bits: int, block: int = BLOCK) -> bytes:
-    ids = np.frombuffer(b"".join(parts), "<u4")
-    if len(ids) and int(ids.max()) >> bits:
-        raise ValueError(f"an id needs more than {bits} bits")
-    starts = np.zeros(len(parts) + 1, "<u8")
-    np.cumsum([len(p) // 4 for p in parts], out=starts[1:])
-    packed = [pack_block(ids[at : at + block], bits) for at in range(0, len(ids), block)]
-    offsets = np.zeros(len(packed) + 1, "<u8")
-    np.cumsum([len(p) for p in packed], out=offsets[1:])
-    return b"".join((
-        HEAD.pack(MAGIC, bits, block, len(parts), len(ids), len(packed)),
-        np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-        np.array([d is None for d in doc_ids], "u1").tobytes(),
-        starts.tobytes(),
-        offsets.tobytes(),
-        *packed,
-    ))
+    builder = ShardBuilder(bits, block)
+    for doc_id, ids in zip(doc_ids, parts, strict=True):
+        builder.add(doc_id, ids)
+    return b"".join(builder.parts())
 
 
 class Shard:
@@ -196,7 +229,7 @@ class Shard:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def put_file(uri: str, data: bytes) -> None:
+def put_file(uri: str, parts: Iterable[bytes]) -> None:
     """Write a file of the shared store whole: under a name of its own first, then moved into place."""
     import uuid
 
@@ -208,7 +241,8 @@ def put_file(uri: str, data: bytes) -> None:
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     own = f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"
     with store.open_output_stream(own) as out:
-        out.write(data)
+        for part in parts:
+            out.write(part)
     store.move(own, path)
 
 
@@ -216,8 +250,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Encode every whole text and write shard files under `folder`, in ascending doc_id order (null ids first).
 
     Returns the manifest: name, n_ids, first (ids of all shards before it). A task that runs again writes the same
-    bytes under the same names. Rows with the same doc_id are ordered by text; a null text gives only the end id.
-    An empty table writes no file and returns an empty manifest.
+    bytes under the same names. Rows with one doc_id follow each other by a hash of their text, so that many of them
+    are still dealt to many tasks; repeated rows are written each. A null text gives only the end id. A very long text
+    makes its shard longer, no text is cut. An empty table writes no file and returns an empty manifest.
     """
     spark = docs.sparkSession
     bits = width_of(max(vocabulary_size(vocabulary), (end_id or 0) + 1))
@@ -226,28 +261,27 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     def write(batches):
         from pyspark import TaskContext
 
-        part, shard = TaskContext.get().partitionId(), 0
-        names, counts, ids, parts, held = [], [], [], [], 0
+        part = TaskContext.get().partitionId()
+        names, counts, shard = [], [], ShardBuilder(bits)
 
         def flush():
-            nonlocal shard, ids, parts, held
-            name = f"part-{part:06d}-{shard:06d}.bits"
-            put_file(f"{folder}/{name}", shard_bytes(ids, parts, bits))
+            nonlocal shard
+            name = f"part-{part:06d}-{len(names):06d}.bits"
+            put_file(f"{folder}/{name}", shard.parts())
             names.append(name)
-            counts.append(held)
-            shard, ids, parts, held = shard + 1, [], [], 0
+            counts.append(shard.n_ids)
+            shard = ShardBuilder(bits)
 
         for doc_id, data in encoded(batches, vocabulary):
-            ids.append(doc_id)
-            parts.append(data + end)
-            held += len(parts[-1]) // 4
-            if held >= shard_ids:
+            shard.add(doc_id, data + end)
+            if shard.n_ids >= shard_ids:
                 flush()
-        if ids:
+        if shard.counts:
             flush()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["name", "n_ids"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange(shuffle_width(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     rows = sorted(map(tuple, ordered.mapInArrow(write, "name string, n_ids long").collect()))  # a row for each file
     first, manifest = 0, []
     for name, n in rows:
@@ -286,7 +320,11 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, written as bit-packed shard files and read back from them."""
+    """Token ids of all documents, written as bit-packed shard files and read back from them.
+
+    A row for each row of documents, repeated ones too: rows of one id by a hash of their text, null ids first. A null
+    or empty text has its end id only. An empty table gives no row. Columns other than doc_id and text aren't read.
+    """
     folder = scratch_path(spark, "tokens")
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path())
     if manifest.isEmpty():
