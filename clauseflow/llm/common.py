@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Only where it is unset (tests) one is made."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset and all runs in this one process (master
+    local, as in tests) one is made; on a cluster that would be a folder of the driver's machine alone, so it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="clauseflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,10 +55,33 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def tucked(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+@dataclass(frozen=True)
+class Placed:
+    """A frame and a column that tells its rows apart and says where they stand: struct<part, file, row>."""
+
+    frame: DataFrame
+    column: Column
+
+
+def placed(df: DataFrame) -> Placed:
+    """df with the place of each row in its files, ascending as they were written: the writer's part, the file, the row.
+
+    A frame that isn't read straight from files is written first. The column must be used in the first select.
+    """
+    try:
+        meta = df.metadataColumn("_metadata")
+        df.select(meta["row_index"])
+    except (AnalysisException, AttributeError):
+        return placed(saved(df, "placed"))
+    part = F.regexp_extract(meta["file_name"], r"^part-(\d+)", 1)
+    return Placed(df, F.struct(F.when(part != "", part.cast("long")).alias("part"), meta["file_path"].alias("file"), meta["row_index"].alias("row")))
+
+
+def tucked(df: DataFrame, needed: list[str], place: Column | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with its needed columns and all others inside one struct, where their names can't clash, and the way back.
 
-    The way back selects df's columns, in their order, from a frame that still has those columns.
+    The way back selects df's columns, in their order, from a frame that still has those columns. place: of placed(),
+    becomes a column of that name.
     """
     others = [c for c in df.columns if c not in needed]
     inside = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
@@ -61,7 +90,7 @@ def tucked(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataF
     def back(frame: DataFrame) -> DataFrame:
         return frame.select(*[F.col(f"tucked_columns.`{c}`").alias(c) if c in others else F.col(c) for c in names])
 
-    return df.select(*needed, inside.alias("tucked_columns")), back
+    return df.select(*needed, inside.alias("tucked_columns"), *([] if place is None else [place.alias("place")])), back
 
 
 def crc32_of_id(doc_id: Column) -> Column:

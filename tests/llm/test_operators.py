@@ -352,6 +352,7 @@ def test_packing_is_gapless_and_often_optimal(spark, odd):
         ids = np.append(ids, [0]).astype("<u4")
         want += [(i, p, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for p, s in enumerate(range(0, len(ids), 2048))]
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
+    assert len(held) == packing.search(Counter(r["length"] for r in rows)).size
 
 
 def optimum(items, capacity):
@@ -374,6 +375,37 @@ def optimum(items, capacity):
     return best[0]
 
 
+def test_search_tries_shorter_fillings_and_says_what_it_proved():
+    whole = packing.search(Counter([50, 48, 45, 32, 30, 26, 25, 24, 20]), 100)
+    assert (whole.size, whole.proved) == (3, True)
+    open_ = packing.search(Counter([50, 48, 45, 32, 30, 26, 25, 24, 20]), 100, steps=1)
+    assert (open_.size, open_.bound, open_.proved) == (4, 3, False)
+    many = packing.search({50: 10, 48: 10, 45: 10, 32: 10, 30: 10, 26: 10, 25: 10, 24: 10, 20: 10}, 100)
+    assert (many.size, many.proved) == (30, True)
+
+
+def test_sequences_follow_the_order(spark):
+    draw = random.Random(2)
+    rows = [(i, 0, 0, draw.randint(1, 60), 0, i) for i in range(6000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, place long")
+    got = packing.pack(pieces, 100, order=["place"]).collect()
+    assert len(got) == len(rows)
+    held = defaultdict(list)
+    for r in got:
+        held[r["sequence_id"]].append((r["offset"], r["length"], r["doc_id"]))
+    ranges = sum(r[3] for r in rows) // (100 * packing.RANGE_SEQUENCES)
+    assert ranges > 10 and len(held) <= packing.search(Counter(r[3] for r in rows), 100).size + ranges
+    ends = []
+    for s in sorted(held):
+        at = 0
+        for offset, length, _ in sorted(held[s]):
+            assert offset == at
+            at += length
+        assert at <= 100 and max(i for *_, i in held[s]) - min(i for *_, i in held[s]) <= len(rows) // ranges + 1
+        ends.append(max(i for *_, i in held[s]) * ranges // len(rows))
+    assert ends == sorted(ends)
+
+
 def test_bin_completion_finds_the_optimum():
     better = 0
     for s in range(120):
@@ -387,6 +419,7 @@ def test_bin_completion_finds_the_optimum():
             placed.update({n: k * times for n, k in pattern})
         assert placed == counts
         size = sum(t for _, t in found)
+        assert packing.search(counts, capacity).proved and packing.lower_bound(counts, capacity) <= size
         assert size == optimum(list(counts.elements()), capacity)
         better += size < sum(t for _, t in packing.best_fit_decreasing(counts, capacity))
     assert better
@@ -422,27 +455,70 @@ def brute_targets(sizes, weights, cap):
     return targets
 
 
-def test_mix(spark, odd):
-    for sf in (SF, odd):
+def brute_mix(rows, targets, seed=17):
+    """{source: [(doc_id, size, taken)]} and the words taken: rows are (doc_id, source, size), one after the other."""
+    out = {}
+    for name, target in targets.items():
+        own = [(i, n) for i, s, n in rows if s == name]
+        whole = sum(n for _, n in own)
+        full, part = (int(target // whole), target / whole % 1.0) if whole else (0, 0.0)
+        hashed = lambda x: spark_xxhash(np.int32(seed), x[0], x[1])
+        order = lambda x: ((hashed(x) >> 7) % 16, hashed(x), x[0] is not None, x)
+        classes = defaultdict(list)
+        for x in own:
+            if x[1]:
+                classes[(x[1].bit_length() - 1) // mixing.CLASS_BITS].append(x)
+        due, found = 0.0, [(i, 0, 0) for i, n in own if not n]
+        for c in sorted(classes, reverse=True):
+            wanted, at, took = (due + part * sum(n for _, n in classes[c]) if part else 0.0), 0, 0
+            for i, n in sorted(classes[c], key=order):
+                more = at + n / 2 <= wanted
+                at += n
+                took = at if more else took
+                found.append((i, n, n * min(3, full + more)))
+            due = wanted - took
+        out[name] = sorted(found, key=str)
+    return out
+
+
+def targets_of(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    return dict(zip(names, brute_targets([sizes[s] for s in names], [1 + i % 3 for i in range(len(names))], 3), strict=True))
+
+
+def test_mix(spark, odd, tmp_path):
+    draw = random.Random(4)
+    words = lambda n: " ".join(["w"] * n)
+    alike = [(7, words(300), "en", "a")] * 3 + [(i, words(draw.randint(1, 40)), "en", "a") for i in range(20, 60)]
+    alike += [(i, words(draw.choice([0, 1, 5, 30, 200, 5000])), "en", draw.choice("bcd")) for i in range(100, 160)]
+    for sf in (SF, odd, table(spark, tmp_path / "t", alike)):
         rows = mixing.op10_curriculum_mix(spark, sf).collect()
-        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
-        size = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in docs}
-        by = defaultdict(int)
-        for r in docs:
-            by[r["source"]] += size[r["doc_id"]]
-        names = sorted(by, key=lambda s: (s is None, s or ""))
-        targets = dict(zip(names, brute_targets([by[s] for s in names], [1 + i % 3 for i in range(len(names))], 3), strict=True))
-        source = {r["doc_id"]: r["source"] for r in docs}
-        taken = defaultdict(int)
-        for r in rows:
-            s = source[r["doc_id"]]
-            assert (r["size"], r["source_size"]) == (size[r["doc_id"]], by[s]) and abs(r["target"] - targets[s]) < 1e-6 * max(1, targets[s])
-            assert r["taken"] <= 3 * r["size"] and len(r["positions"]) == (r["taken"] // r["size"] if r["size"] else 0)
-            taken[s] += r["taken"]
-        if sf == SF:
-            assert all(abs(taken[s] - t) <= 0.06 * t for s, t in targets.items())
-            again = {r["doc_id"]: (r["taken"], r["positions"]) for r in mixing.op10_curriculum_mix(spark, sf).collect()}
-            assert again == {r["doc_id"]: (r["taken"], r["positions"]) for r in rows}
+        docs = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
+        sizes = defaultdict(int)
+        for _, s, n in docs:
+            sizes[s] += n
+        targets = targets_of(sizes)
+        found = brute_mix(docs, targets)
+        want = [(i, n, sizes[s], taken) for s, own in found.items() for i, n, taken in own]
+        assert sorted(((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in rows), key=str) == sorted(want, key=str)
+        assert {(r["source_size"], round(r["target"], 3)) for r in rows} == {(sizes[s], round(t, 3)) for s, t in targets.items()}
+        for s, own in found.items():
+            missed = abs(sum(t for *_, t in own) - targets[s])
+            assert missed <= max((n for _, n, _ in own), default=0) / 2 + 1e-6 and (sf != SF or missed <= 0.06 * targets[s])
+        copies = sorted((p, k) for r in rows for p, k in zip(r["positions"], r["ranks"], strict=True))
+        assert [k for _, k in copies] == list(range(len(copies))) and all(len(r["ranks"]) == (r["taken"] // r["size"] if r["size"] else 0) for r in rows)
+        again = mixing.op10_curriculum_mix(spark, sf).collect()
+        assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+def test_alike_rows_are_counted_one_by_one(spark, tmp_path):
+    words = lambda n: " ".join(["w"] * n)
+    sf = table(spark, tmp_path / "t", [(1, words(300), "en", "a")] * 3 + [(2, words(3000), "en", "b"), (3, words(700), "en", "a")])
+    rows = mixing.op10_curriculum_mix(spark, sf).collect()
+    taken = sum(r["taken"] for r in rows if r["source_size"] == 1600)
+    assert abs(taken - next(r["target"] for r in rows if r["source_size"] == 1600)) <= 150
+    order = mixing.training_order(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert Counter(r["doc_id"] for r in order.collect()) == Counter(r["doc_id"] for r in rows for _ in r["ranks"])
 
 
 def test_schedule_is_inverted(spark):
