@@ -4,7 +4,7 @@
 2. The n-gram Jaccard join leaves one document of each group of near copies, the one with the least id.
 3. PII spans are replaced by their kind.
 4. The curriculum mix takes documents of each source up to its target, repeats and all, in training order.
-5. Best-fit packing lays the token pieces into sequences of 2048.
+5. Best-fit packing lays the token pieces into sequences of 2048, range by range of that order.
 
 Every stage gets what the one before left, as written Parquet. Stages 1 to 4 return the columns of documents; extra
 columns of the input pass through. A copy that the mix repeats keeps its doc_id, and the packing places each copy.
@@ -74,9 +74,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their places in sequences."""
+    """Token pieces of all documents with their places in sequences, which follow the order the mix wrote them in."""
     ship(spark)
-    return packing.packed_documents(docs)
+    return packing.packed_in_order(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
