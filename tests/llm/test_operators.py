@@ -89,9 +89,56 @@ def test_language_accuracy_on_held_out(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_language_of_odd_rows(spark, odd):
-    got = {r["doc_id"]: r["lang_pred"] for r in language.op1_language_id(spark, odd).collect()}
-    assert [got[i] for i in (1, 2, 3, 7)] == ["und"] * 4 and got[5] != "und"
+def test_language_of_odd_rows(spark, odd, tmp_path):
+    rows = language.op1_language_id(spark, odd).collect()
+    got = {r["doc_id"]: r["lang_pred"] for r in rows}
+    assert [got[i] for i in (1, 2, 3, 7)] == ["und"] * 4 and got[5] != "und" and len(rows) == len(ODD)
+    # Numeric signs are no letters; a word of any length is scored; one id for all rows; two languages with the same texts tie.
+    rows = [(None, "½ ² ①", "en", "a"), (None, "١٢ ⅷ", "en", "a"), (3, "x" * 30_000, "en", "a"), (3, "same words here", "en", "a"), (3, "same words here", "de", "a"), (3, "same words here", "de", "a"), (9, "ñ", "es", "a")]
+    rows = language.op1_language_id(spark, table(spark, tmp_path / "t", rows)).collect()
+    assert [r["lang_pred"] for r in rows if r["doc_id"] is None] == ["und", "und"] and all(r["lang_pred"] != "und" for r in rows if r["doc_id"])
+
+
+def plain_likelihoods(words, vocab, p):
+    """The sum over all segmentations of each word by each language, by plain recursion."""
+    from functools import cache
+
+    @cache
+    def total(t):
+        if not t:
+            return np.ones(p.shape[1])
+        fits = [(j, vocab[t[:j]]) for j in range(1, len(t) + 1) if vocab.get(t[:j], -1) >= 0]
+        if not any(j == 1 for j, _ in fits):
+            fits.append((1, -1))
+        return sum(p[k] * total(t[j:]) for j, k in fits)
+
+    return {w: total("▁" + w) for w in words}
+
+
+def test_predictions_against_plain_recursion(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(language.training_rows(docs))
+    vocab = language.vocabulary(model.path)
+    assert max(len(p) for p, i in vocab.items() if i >= 0) > 8
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.op1_language_id(spark, SF).collect()}
+    for i, text in plain(spark, SF)[:60]:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        known = plain_likelihoods(set(words), vocab, model.probabilities)
+        logs = sum(np.log(known[w]) for w in words)
+        share = np.exp((logs - logs.max()) / np.sqrt(len(words)))
+        assert got[i][0] == model.languages[int(np.argmax(logs))] and abs(got[i][1] - share.max() / share.sum()) < 1e-3
+
+
+def test_long_words_are_summed_whole():
+    vocab = {"▁a": 0, "▁": 1, "a": 2, "b": 3, "ab": 4, "▁ab": 5, "abbabbab": -1, "abbabbabb": 6} | {"abbabbabb"[:n]: -1 for n in range(3, 9)}
+    p = np.random.default_rng(1).random((8, 2)) / 4
+    word = "abbabbabb" * 8 + "cab"
+    assert np.allclose(language.long_likelihood(word, vocab, np.log(p)), np.log(plain_likelihoods([word], vocab, p)[word]))
+    assert np.allclose(np.log(language.Lattice.of([word], vocab).likelihood(p)[0]), language.long_likelihood(word, vocab, np.log(p)))
+    uses = np.zeros(8)
+    language.long_uses(word, vocab, np.log(p[:, 0]), 2.0, uses)
+    assert np.allclose(uses, language.Lattice.of([word], vocab).expected(p[:, :1], np.array([2.0])))
+    assert np.isfinite(language.long_likelihood("ab" * 20_000, vocab, np.log(p))).all()
 
 
 def expected_ids(rows):
