@@ -1,131 +1,122 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
-Every word has a sparse ternary index vector drawn from its hash; its word vector is the sum of the index vectors met
-around it in the training texts and its own. Signs around a word, its letter case and its being met twice in a row
-are words of their own (marks). A document is the mean of its words' vectors with the mean's length, the part of
-immediate and of any repeats, and the log of its word count. The network's logits are divided by a temperature fitted
-on training rows that the weights never saw.
+Words are runs of letters and digits, as they are written, and runs of other signs. Every word has a sparse ternary
+index vector drawn from its hash; its word vector is the sum of its own and of those met around it in the training
+texts, each shifted by how far before or after it stands (so that order counts), brought to length one. Every word of
+the sample has a vector; one that training never met has none and counts as zero. A document's features are the mean
+of its words' vectors and the mean of the products of neighbouring vectors, place by place, which tells how words
+stand together. Nothing else goes into the score. The network's logits are divided by a temperature fitted on
+training rows that the weights never saw.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, table
 from .words import held, split_words
 
 DIMENSIONS = 64
-NONZERO = 4
+NONZERO = 4  # one in each of as many equal blocks of dimensions
 WINDOW = 2
-VOCABULARY = 20_000
-#: The fit reads about so many labelled rows of each class, chosen by a hash of the id.
+FEATURES = 2 * DIMENSIONS
+#: The fit reads at most so many labelled rows of each class, of those whose text has at most so many signs, whole.
 SAMPLE_ROWS = 2_000
+SAMPLE_SIGNS = 20_000
 HIDDEN = 32
-EPOCHS = 400
+EPOCHS = 150
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
-SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHE_WORDS = 200_000
+#: Vectors of so many words of a text are held at once.
+BLOCK = 1 << 16
+WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
-def index_vector(word: str) -> np.ndarray:
-    """NONZERO of DIMENSIONS places are +1 or -1, drawn from the word's hash."""
-    draw = np.random.Generator(np.random.PCG64(zlib.crc32(word.encode())))
-    out = np.zeros(DIMENSIONS, np.float32)
-    out[draw.choice(DIMENSIONS, NONZERO, replace=False)] = draw.choice((-1.0, 1.0), NONZERO)
-    return out
+def words_of(texts: pa.Array, cache: dict[str, tuple[int, ...]], number: Callable[[str], int]) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, ids): text i has the words ids[bounds[i]:bounds[i + 1]], numbered by number(word); a null text has none.
 
-
-def parts(raw: str) -> tuple[str, str]:
-    """A word's core in lower case and its marks: letter case, digits, and up to three of the signs after it."""
-    core = raw.strip(SIGNS)
-    tail = raw[len(raw.rstrip(SIGNS)) :][:3] if core else raw[:3]
-    shape = "n" if not core else "u" if len(core) > 1 and core.isupper() else "d" if any(c.isdigit() for c in core) else "l"
-    return core.lower(), f"\x00{shape}{tail}"
+    cache: the words of blank-parted strings seen before.
+    """
+    bounds, raw, strings = split_words(texts)
+    found = []
+    for s in strings:
+        own = cache.get(s)
+        if own is None:
+            own = cache[s] = tuple(map(number, WORD.findall(s)))
+        found.append(own)
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter((k for own in found for k in own), np.int64, int(size.sum()))
+    begin, each = np.concatenate([[0], np.cumsum(size)[:-1]])[raw] if len(raw) else raw, size[raw]
+    after = np.cumsum(each)
+    ids = flat[np.repeat(begin - (after - each), each) + np.arange(int(each.sum()))]
+    return np.concatenate([[0], after])[bounds], ids
+
+
+def index_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the nonzero entries of each word's index vector, one in each block, from the word's hash."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[:, None]
+    width = DIMENSIONS // NONZERO
+    shifts = (8 * np.arange(NONZERO)).astype(np.uint64)
+    draws = (hashes >> shifts) & np.uint64(255)
+    places = (draws >> np.uint64(1)) % np.uint64(width) + np.arange(NONZERO, dtype=np.uint64) * np.uint64(width)
+    return places.astype(np.int64), (draws & np.uint64(1)).astype(np.float64) * 2 - 1
 
 
 @dataclass
 class WordVectors:
     words: dict[str, int]
-    vectors: np.ndarray
+    vectors: np.ndarray  # the last row, of zeros, is for words that training never met
 
     @classmethod
-    def learn(cls, texts: list[str], size: int = VOCABULARY) -> WordVectors:
-        """Random indexing over the texts; the commonest `size` cores get a vector, ties by the word itself."""
-        cores: dict[str, str] = {}
-        docs = []
-        for text in texts:
-            raw = text.split()
-            cores.update((w, parts(w)[0]) for w in set(raw) if w not in cores)
-            docs.append([cores[w] for w in raw])
-        counts = Counter(w for ws in docs for w in ws if w)
-        top = sorted(counts, key=lambda w: (-counts[w], w))[:size]
-        words = {w: i for i, w in enumerate(top)}
-        index = np.array([index_vector(w) for w in top], np.float32).reshape(-1, DIMENSIONS)
-        vectors = index * np.array([counts[w] for w in top], np.float32)[:, None]
-        between = [-1] * WINDOW  # no window reaches from one text to the next
-        ids = np.array([i for ws in docs for i in (*(words.get(w, -1) for w in ws), *between)], np.int64)
-        places = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
-        for gap in range(1, WINDOW + 1):
-            a, b = ids[:-gap], ids[gap:]
-            both = (a >= 0) & (b >= 0)
-            for x, y in ((a[both], b[both]), (b[both], a[both])):
-                for k in range(NONZERO if len(top) else 0):
-                    at = places[y, k]
-                    vectors += np.bincount(x * DIMENSIONS + at, index[y, at], vectors.size).reshape(vectors.shape).astype(np.float32)
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return cls(words, (vectors / np.maximum(norms, 1e-6)).astype(np.float32))
+    def learn(cls, texts: list[str]) -> WordVectors:
+        """Random indexing over the texts, for every word in them."""
+        words: dict[str, int] = {}
+        bounds, ids = words_of(pa.array(texts, pa.large_string()), {}, lambda w: words.setdefault(w, len(words)))
+        places, signs = index_vectors(list(words))
+        vectors = np.zeros(len(words) * DIMENSIONS)
+        text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        for gap in range(-WINDOW, WINDOW + 1):
+            a, b = (ids, ids) if not gap else (ids[: -abs(gap)], ids[abs(gap) :])
+            same = text_of[: len(a)] == text_of[len(ids) - len(a) :]  # no window reaches from one text to the next
+            x, y = (a[same], b[same]) if gap >= 0 else (b[same], a[same])
+            for k in range(NONZERO):
+                vectors += np.bincount(x * DIMENSIONS + (places[y, k] + gap) % DIMENSIONS, signs[y, k], len(vectors))
+        vectors = vectors.reshape(-1, DIMENSIONS)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+        return cls(words, np.concatenate([vectors, np.zeros((1, DIMENSIONS))]).astype(np.float32))
 
 
 class Pooler:
-    """Features of whole texts. Words met before are looked up in a bounded cache; those without a vector share a row for their marks."""
+    """Features of whole texts; the words of strings met before come from a bounded cache."""
 
     def __init__(self, model: WordVectors):
-        self.model = model
-        self.rows: dict[str, int] = {}
-        self.by_key: dict[tuple[int, str], int] = {}
-        self.matrix = np.zeros((1024, DIMENSIONS), np.float32)
-
-    def row(self, raw: str) -> int:
-        core, marks = parts(raw)
-        key = (self.model.words.get(core, -1), marks)
-        found = self.by_key.get(key)
-        if found is None:
-            found = self.by_key[key] = len(self.by_key)
-            if found == len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-            self.matrix[found] = index_vector(marks) + (self.model.vectors[key[0]] if key[0] >= 0 else 0)
-        return found
+        self.model, self.cache = model, {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros((len(texts), DIMENSIONS + 4), np.float32)
-        bounds, ids, words = split_words(texts)
-        if len(self.rows) + len(words) > CACHE_WORDS:
-            self.rows, self.by_key = {}, {}
-        rows = self.rows
-        data = list(map(rows.get, words))
-        for k, w in enumerate(words):
-            if data[k] is None:
-                data[k] = rows[w] = self.row(w)
-        place = np.array(data, np.int64)
+        out = np.zeros((len(texts), FEATURES), np.float32)
+        known, none = self.model.words, len(self.model.words)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = {}
+        bounds, ids = words_of(texts, self.cache, lambda w: known.get(w, none))
         for i in range(len(texts)):
             own = ids[bounds[i] : bounds[i + 1]]
-            if not len(own):
-                continue
-            mean = np.add.reduce(self.matrix[place[own]], axis=0) / len(own)
-            same = np.count_nonzero(own[1:] == own[:-1]) / len(own)
-            ordered = np.sort(own)
-            different = 1 + np.count_nonzero(ordered[1:] != ordered[:-1])
-            out[i, :DIMENSIONS] = mean
-            out[i, DIMENSIONS:] = np.linalg.norm(mean), same, 1 - different / len(own), np.log1p(len(own))
+            single, pairs = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+            for at in range(0, len(own), BLOCK):
+                rows = self.model.vectors[own[at : at + BLOCK + 1]]  # one more, for the pair across blocks
+                single += rows[:BLOCK].sum(axis=0, dtype=np.float64)
+                pairs += np.einsum("ij,ij->j", rows[1:], rows[:-1])
+            out[i, :DIMENSIONS] = single / max(1, len(own))
+            out[i, DIMENSIONS:] = pairs / max(1, len(own) - 1)
         return out
 
 
@@ -174,19 +165,24 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> fl
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_signs: int = SAMPLE_SIGNS) -> QualityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, quality; other values than 0 and 1, and nulls, teach nothing).
 
-    Of each class fewer than 2 * sample_rows labels are expected to be read, chosen by a hash of the id, and weigh so
-    that the classes keep their shares; their bound makes the join a broadcast. A null text is empty. With rows of
-    one class the model scores that class, without any nearly 0.5.
+    The bounded sample: of each class at most sample_rows rows with at most sample_signs signs, those with the least
+    hashes; they weigh so that the classes keep their shares. The bound makes the join with labels a broadcast. A label
+    that is given twice counts once, one document may have both. A null text is empty. With rows of one class the model
+    scores that class, without any nearly 0.5.
     """
-    labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
     counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
-    share = {k: max(1, n // sample_rows) for k, n in counts.items()}
-    chosen = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.when(F.col("quality") == 1, F.lit(share.get(1, 1))).otherwise(F.lit(share.get(0, 1)))) == 0
+    share = {k: max(1, n // (2 * sample_rows)) for k, n in counts.items()}
+    h = F.xxhash64(F.lit(9), "doc_id")
+    chosen = labels.filter(F.pmod(h, F.when(F.col("quality") == 1, F.lit(share.get(1, 1))).otherwise(F.lit(share.get(0, 1)))) == 0)
+    first = lambda *by: F.row_number().over(W.partitionBy("quality").orderBy(*by))
+    chosen = chosen.withColumn("place", first(h, "doc_id")).filter(F.col("place") <= 4 * sample_rows).drop("place")  # some have no document, some a long one
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= sample_signs).join(F.broadcast(chosen), "doc_id")
+    rows = rows.withColumn("place", first(h, "doc_id", F.xxhash64("text"), "text")).filter(F.col("place") <= sample_rows)
     part = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(5)) == 0
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels.filter(chosen)), "doc_id")
     rows = sorted(rows.select("doc_id", "text", "quality", part.alias("apart")).collect(), key=lambda r: (r["doc_id"], r["text"], r["quality"]))
     return fit_rows([r["text"] for r in rows], np.array([r["quality"] for r in rows], float), np.array([counts[r["quality"]] for r in rows], float), np.array([r["apart"] for r in rows], bool))
 
@@ -197,7 +193,7 @@ def fit_rows(texts: list[str], y: np.ndarray, of_class: np.ndarray, apart: np.nd
     x = Pooler(vectors)(pa.array(texts, pa.large_string())).astype(float)
     if len(set(y.tolist())) < 2:
         rate = 0.0 if not len(y) else 20.0 if y[0] else -20.0
-        return QualityModel(vectors, np.zeros(DIMENSIONS + 4), np.ones(DIMENSIONS + 4), (np.zeros((DIMENSIONS + 4, 1)), np.zeros(1), np.zeros((1, 1)), np.array([rate])), 1.0)
+        return QualityModel(vectors, np.zeros(FEATURES), np.ones(FEATURES), (np.zeros((FEATURES, 1)), np.zeros(1), np.zeros((1, 1)), np.array([rate])), 1.0)
     use = ~apart if len(set(y[~apart].tolist())) == 2 else np.ones(len(y), bool)
     shift, scale = x[use].mean(0), x[use].std(0) + 1e-6
     layers = train_layers((x[use] - shift) / scale, y[use], weight[use])
@@ -212,7 +208,10 @@ def pooler_of(model: QualityModel) -> Pooler:
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 is likelier) of each whole text; a null text is scored as an empty one."""
+    """docs with score (0 to 1, higher: label 1 is likelier) of each whole text; a null text is scored as an empty one.
+
+    Other columns pass through, a column score is replaced; alike texts have alike scores, an empty table none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -221,12 +220,16 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         pool = pooler_of(model)
         for texts in batches:
             parts = [pool(pa.array(texts.iloc[at : at + 512], pa.large_string(), from_pandas=True)) for at in range(0, len(texts), 512)]
-            yield pd.Series(model.scores(np.concatenate(parts or [np.zeros((0, DIMENSIONS + 4))]).astype(float)))
+            yield pd.Series(model.scores(np.concatenate(parts or [np.zeros((0, FEATURES))]).astype(float)))
 
-    return docs.withColumn("score", rate("text"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"], rate("text").alias("score"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels of those whose id's crc32 is no multiple of 5.
+
+    A null id counts as the empty text there and has no label. Repeated rows each get a row.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(5)) == 0
     model = fit(docs, labels.filter(~held_out))

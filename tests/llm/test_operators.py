@@ -480,6 +480,54 @@ def test_quality_on_held_out(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def plain_scores(model, texts):
+    """The model's scores by plain loops over each text's words."""
+    out = []
+    for text in texts:
+        words = [w for raw in WORD.findall(text or "") for w in quality.WORD.findall(raw)]
+        rows = [model.vectors.vectors[model.vectors.words[w]].astype(float) if w in model.vectors.words else np.zeros(quality.DIMENSIONS) for w in words]
+        mean = sum(rows) / len(rows) if rows else np.zeros(quality.DIMENSIONS)
+        pairs = sum(a * b for a, b in zip(rows, rows[1:], strict=False)) / (len(rows) - 1) if len(rows) > 1 else np.zeros(quality.DIMENSIONS)
+        w1, b1, w2, b2 = model.layers
+        x = (np.concatenate([mean, pairs]) - model.shift) / model.scale
+        out.append(1 / (1 + np.exp(-np.clip(float((np.maximum(x @ w1 + b1, 0) @ w2 + b2)[0]) / model.temperature, -60, 60))))
+    return out
+
+
+def test_word_vectors_and_scores_against_plain_loops(spark, monkeypatch):
+    texts = ["Ab cd*** Ab\u00a0x cd", "", "a_b __ ab", "Ab Ab Ab", None]
+    vectors = quality.WordVectors.learn([t or "" for t in texts])
+    index = {}
+    for w in vectors.words:
+        places, signs = quality.index_vectors([w])
+        index[w] = np.bincount(places[0], signs[0], quality.DIMENSIONS)
+        assert np.count_nonzero(index[w]) == quality.NONZERO
+    for w, k in vectors.words.items():
+        want = np.zeros(quality.DIMENSIONS)
+        for text in texts:
+            words = [x for raw in WORD.findall(text or "") for x in quality.WORD.findall(raw)]
+            for i, x in enumerate(words):
+                for j in range(max(0, i - quality.WINDOW), min(len(words), i + quality.WINDOW + 1)):
+                    if x == w:
+                        want += np.roll(index[words[j]], j - i)
+        assert np.allclose(vectors.vectors[k], want / np.linalg.norm(want), atol=1e-5)
+    model = quality.fit_rows(["good words here", "bad!!! bad!!! bad!!!"] * 20, np.array([1.0, 0.0] * 20), np.ones(40), np.arange(40) % 5 == 0)
+    monkeypatch.setattr(quality, "BLOCK", 4)
+    long = "good bad!!! here " * 50
+    got = model.scores(quality.Pooler(model.vectors)(pa.array([*texts, long], pa.large_string())).astype(float))
+    assert np.allclose(got, plain_scores(model, [*texts, long]), atol=1e-4)
+
+
+def test_quality_sample_is_bounded(spark, tmp_path, monkeypatch):
+    rows = [(i % 7, f"text {i} of many", "en", "a") for i in range(300)] + [(1, "long " * 9000, "en", "a")]
+    docs = spark.read.parquet(f"{table(spark, tmp_path / 't', rows)}/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] * 3 + [(1, 0), (2, 9), (None, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda texts, y, of_class, apart: seen.append((texts, y.tolist())))
+    quality.fit(docs, labels, sample_rows=20)
+    assert Counter(seen[0][1]) == {0.0: 20, 1.0: 20} and max(map(len, seen[0][0])) < 100
+
+
 def test_quality_learns_from_one_class_only(spark, odd):
     spark.createDataFrame([(4, 1), (5, None), (None, 1)], "doc_id long, quality int").write.parquet(f"{odd}/labels.parquet")
     rows = quality.op9_quality(spark, odd).collect()
