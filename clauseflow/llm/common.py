@@ -77,7 +77,7 @@ def placed(df: DataFrame) -> Placed:
     return Placed(df, F.struct(F.when(part != "", part.cast("long")).alias("part"), meta["file_path"].alias("file"), meta["row_index"].alias("row")))
 
 
-def tucked(df: DataFrame, needed: list[str], place: Column | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def tucked(df: DataFrame, needed: list[str], place: Column | None = None) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """df with its needed columns and all others inside one struct, where their names can't clash, and the way back.
 
     The way back selects df's columns, in their order, from a frame that still has those columns. place: of placed(),
@@ -87,8 +87,8 @@ def tucked(df: DataFrame, needed: list[str], place: Column | None = None) -> tup
     inside = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
     names = list(df.columns)
 
-    def back(frame: DataFrame) -> DataFrame:
-        return frame.select(*[F.col(f"tucked_columns.`{c}`").alias(c) if c in others else F.col(c) for c in names])
+    def back(frame: DataFrame, *more: Column) -> DataFrame:
+        return frame.select(*[F.col(f"tucked_columns.`{c}`").alias(c) if c in others else F.col(c) for c in names], *more)
 
     return df.select(*needed, inside.alias("tucked_columns"), *([] if place is None else [place.alias("place")])), back
 

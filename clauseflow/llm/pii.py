@@ -3,8 +3,10 @@
 Each kind proposes spans by a pattern, leftmost first and not overlapping. A check confirms a span: at most 255 in
 each part of an address, Luhn for cards, a digit count for phones, mod 97 for IBANs. IBANs are proposed from every
 word start with the length of their country, so that what follows or stands before one can't hide it; of those that
-pass and overlap, the first stays. A span's score is its kind's own,
-raised by context words near it; kinds with Finder.least keep spans that reach it, base kinds keep all that pass.
+pass and overlap, the first stays. A span's score is its kind's own, raised by whole context words within NEAR signs
+before or after it, as far as no other proposal of its kind stands between; kinds with Finder.least keep spans that
+reach it, base kinds keep all that pass. Context is cut from the gaps between proposals, so the cost grows with the
+text and the number of spans, not with their product.
 
 Patterns begin only where a run of their first signs begins, or where the last match ended (\\G): every other place
 inside a run would match the same way or not at all, and so a long run costs one scan. Repeats that nothing follows are
@@ -76,7 +78,7 @@ class Finder:
     pattern: str
     check: Callable[[Column], Column]
     score: float
-    context: str  # words that raise the score, as a pattern
+    context: str  # words that raise the score, in lower case, parted by |
     least: float = 0.0  # of the score; 0 keeps all that pass the check
     ahead: bool = False  # the pattern is a lookahead whose group 1 is the span: proposals may overlap
 
@@ -91,13 +93,13 @@ IBAN_LENGTHS = {
 _KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 _OTHER = rf"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{1,4}}){{3,8}}"
 BASE = (
-    Finder("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", _none, 0.9, "mail|contact|@"),
-    Finder("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", is_address, 0.6, "ip|addr|host|server"),
-    Finder("card", r"[0-9](?:[\x20-]?[0-9])++", luhn, 0.8, "card|visa|credit|karte|carte|tarjeta"),
-    Finder("phone", r"\+[0-9][\x20().0-9-]+[0-9]", is_phone, 0.7, "tel|phone|call|fax|mobil"),
+    Finder("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", _none, 0.9, "e-mail|email|mail|contact|correo|courriel"),
+    Finder("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", is_address, 0.6, "ip|address|addr|host|server|login"),
+    Finder("card", r"[0-9](?:[\x20-]?[0-9])++", luhn, 0.8, "card|visa|mastercard|credit|karte|kreditkarte|carte|tarjeta"),
+    Finder("phone", r"\+[0-9][\x20().0-9-]+[0-9]", is_phone, 0.7, "tel|telephone|telefon|phone|call|fax|mobile|mobil"),
 )
 ADDED = (
-    Finder("iban", rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_KNOWN}|{_OTHER})\b))", mod97, 0.9, "iban|bank|konto|compte|cuenta", 0.9, True),
+    Finder("iban", rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_KNOWN}|{_OTHER})\b))", mod97, 0.8, "iban|bank|account|konto|compte|cuenta", 0.0, True),
     Finder("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", is_ssn, 0.4, "ssn|social security|tax id", 0.7),
 )
 FINDERS = BASE + ADDED
@@ -113,37 +115,50 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(items: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each item what combine() makes of the values of all items before it; in blocks of 64, so that no step copies
+    a long array."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / 64).cast("int")), lambda b: F.slice(items, b * 64 + 1, F.lit(64)))
+    nothing = F.array().cast("array<int>")
+
+    def through(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: combine(a, value(x))))
+        begins = let(whole, lambda ws: F.transform(ws, lambda _, i: F.aggregate(F.slice(ws, F.lit(1), i), zero, combine)))
+        step = lambda acc, x: F.struct(combine(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.flatten(F.zip_with(blocks, begins, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])))
+
+    return F.when(F.size(items) > 0, let(blocks, through)).otherwise(nothing)
+
+
 def _spans(text: Column, finder: Finder) -> Column:
     found = F.regexp_extract_all(text, F.lit(finder.pattern), F.lit(int(finder.ahead)))
     # A lookahead takes no signs, so gaps run from proposal to proposal. One at the very start would leave no gap
     # before it; so a sign goes before the text.
     gaps = F.split(F.concat(F.lit("\n"), text), finder.pattern, -1) if finder.ahead else F.split(text, finder.pattern, -1)
-    taken = (lambda m: F.lit(0)) if finder.ahead else F.length
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())  # there is one gap more than matches
-    nothing = F.array().cast("array<struct<start:int,end:int,m:string>>")
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct((start + taken(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
-
-    def cut(ps):  # offsets are running sums; blocks of 64 matches keep their cost in proportion
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / 64).cast("int")), lambda b: F.slice(ps, b * 64 + 1, F.lit(64)))
-
-    def locate(blocks):
-        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + taken(x["m"])))
-        begins = let(lengths, lambda ls: F.transform(ls, lambda _, i: F.aggregate(F.slice(ls, F.lit(1), i), F.lit(0), lambda a, x: a + x)))
-        return F.flatten(F.zip_with(blocks, begins, lambda b, at: F.aggregate(b, F.struct((at - int(finder.ahead)).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])))
-
-    located = let(let(pairs, cut), locate)
-    passed = F.filter(located, lambda x: finder.check(x["m"]))
-    if finder.ahead:
+
+    def proposal(gaps: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            before, after = F.get(gaps, i), F.get(gaps, i + 1)
+            after = F.substr(after, F.length(m) + 1, F.lit(NEAR)) if finder.ahead else F.left(after, F.lit(NEAR))
+            near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit("\n"), after))
+            return F.struct(F.length(before).alias("gap"), m.alias("m"), near.alias("near"))
+
+        return F.transform(found, one)
+
+    taken = (lambda x: F.lit(0)) if finder.ahead else (lambda x: F.length(x["m"]))
+
+    def located(pairs: Column) -> Column:
+        at = running(pairs, lambda x: x["gap"] + taken(x), lambda a, b: a + b, F.lit(0))
+        return F.zip_with(pairs, at, lambda x, at: F.struct((at + x["gap"] - int(finder.ahead)).alias("start"), (at + x["gap"] - int(finder.ahead) + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["near"].alias("near")))
+
+    passed = F.filter(let(let(gaps, proposal), located), lambda x: finder.check(x["m"]))
+    if finder.ahead:  # of those that overlap, the first: one that begins before the last kept one ends goes
+        nothing = F.array().cast("array<struct<start:int,end:int,m:string,near:string>>")
         passed = F.aggregate(passed, nothing, lambda out, x: F.when((F.size(out) > 0) & (x["start"] < F.element_at(out, -1)["end"]), out).otherwise(F.concat(out, F.array(x))))
+    words = rf"(?<![\p{{L}}\p{{N}}])(?:{finder.context})(?![\p{{L}}\p{{N}}])"
 
     def rated(x):
-        near = F.lower(F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR) + x["end"] - x["start"]))
-        score = F.lit(finder.score) + F.when(F.regexp_like(near, F.lit(finder.context)), 1 - finder.score).otherwise(0.0)
+        score = F.when(F.regexp_like(x["near"], F.lit(words)), F.lit(min(1.0, finder.score + 0.3))).otherwise(finder.score)
         return F.struct(F.lit(finder.kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.cast("double").alias("score"))
 
     out = F.transform(passed, rated)
@@ -153,13 +168,14 @@ def _spans(text: Column, finder: Finder) -> Column:
 def with_spans(docs: DataFrame, finders: tuple[Finder, ...] = FINDERS, name: str = "pii") -> DataFrame:
     """docs with an array column of all spans, by kind as listed and then by start. A null text has none.
 
-    Other columns pass through; a column of that name is replaced, and names that begin with _pii_ are the operator's
-    own. Repeated rows each get their spans.
+    Other columns pass through, whatever their names; a column `name` is replaced. Repeated rows each get their spans;
+    ids aren't read.
     """
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_pii_text", text)
-    columns = {f"_pii_{f.kind}": spans_of(F.col("_pii_text"), f) for f in finders}
-    return out.withColumns(columns).withColumn(name, F.concat(*columns)).drop("_pii_text", *columns)
+    rows, back = tucked(docs.drop(name), ["text"])
+    rows = rows.withColumn("whole", F.coalesce("text", F.lit("")))
+    rows = rows.withColumns({f"of_{f.kind}": spans_of(F.col("whole"), f) for f in finders})
+    rows = rows.withColumn("spans", F.concat(*[f"of_{f.kind}" for f in finders]))
+    return back(rows, F.col("spans").alias(name))
 
 
 def redacted(docs: DataFrame, finders: tuple[Finder, ...] = FINDERS) -> DataFrame:
@@ -171,19 +187,16 @@ def redacted(docs: DataFrame, finders: tuple[Finder, ...] = FINDERS) -> DataFram
     rows, back = tucked(docs, ["text"])
     marked = with_spans(rows, finders, "_pii").withColumn("_blocks", F.when(F.size("_pii") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
     marked = marked.withColumn("_pii", F.array_sort(F.transform("_pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
-    # A span begins a new cut if it starts at or after the furthest end so far.
-    furthest = F.aggregate(
-        "_pii",
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (x["start"] < F.element_at(out, -1)["end"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.size(out) - 1),
-                F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"), F.element_at(out, -1)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(out, F.array(x))),
-    )
-    marked = marked.withColumn("_cuts", F.when(F.size("_pii") > 0, furthest))
+    # A span begins a new cut if it starts at or after the furthest end so far; the cut ends at the furthest end before the next.
+    marked = marked.withColumn("_ends", running(F.col("_pii"), lambda x: x["end"], lambda a, b: F.greatest(a, b), F.lit(0)))
+    marked = marked.withColumn("_first", F.filter(F.transform("_pii", lambda x, i: F.when(x["start"] >= F.get("_ends", i), i)), lambda i: i.isNotNull()))
+    last = F.array_max(F.transform("_pii", lambda x: x["end"]))
+
+    def cut(i: Column, k: Column) -> Column:
+        x = F.get("_pii", i)
+        return F.struct(x["start"].alias("start"), F.coalesce(F.get("_ends", F.get("_first", k + 1)), last).alias("end"), x["kind"].alias("kind"))
+
+    marked = marked.withColumn("_cuts", F.when(F.size("_pii") > 0, F.transform("_first", cut)))
 
     def piece(begin: Column, end: Column) -> Column:
         first = F.floor(begin / BLOCK).cast("int")
@@ -205,6 +218,10 @@ def joined(spans: Column) -> Column:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document: counts and digest of the base kinds, all spans, and each span's score.
+
+    A null or empty text has none. Null ids, repeated rows and an empty table are as they are in documents.
+    """
     found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     kinds = [f.kind for f in BASE]
     base = F.filter("pii", lambda x: x["kind"].isin(kinds))
@@ -213,4 +230,5 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
 
     counts = {f"n_{k}": count(k) for k in kinds}
-    return found.withColumns(counts | {"base_sha256": F.sha2(joined(base).cast("binary"), 256), "spans": joined(F.col("pii"))}).drop("pii")
+    scores = F.array_join(F.transform("pii", lambda x: F.format_string("%.2f", x["score"])), ",")
+    return found.withColumns(counts | {"base_sha256": F.sha2(joined(base).cast("binary"), 256), "spans": joined(F.col("pii")), "scores": scores}).drop("pii")

@@ -275,6 +275,35 @@ def test_ibans_beside_capitals_and_digits(spark, tmp_path):
     assert pii.redacted(spark.createDataFrame([(cases[0][0],)], "text string")).first()["text"] == "IBAN [IBAN] BIC COBADEFF"
 
 
+def test_context_words_raise_scores(spark, tmp_path):
+    cases = [
+        ("server 1.2.3.4 up", "0.90"), ("ship 1.2.3.4 up", "0.60"), ("1.2.3.4 is the ip", "0.90"), ("the ip is " + "far " * 12 + "1.2.3.4", "0.60"),
+        ("write to a@b.cd", "0.90"), ("mail: a@b.cd", "1.00"), ("id 123-45-6789", ""), ("my ssn 123-45-6789", "0.70"), ("lessn 123-45-6789", ""), ("123-45-6789 SSN", "0.70"),
+        ("DE89370400440532013000", "0.80"), ("Konto DE89370400440532013000", "1.00"),
+    ]
+    sf = table(spark, tmp_path, [(i, text, "en", "a") for i, (text, _) in enumerate(cases)] + [(None, "a@b.cd", None, None)] * 2)
+    rows = pii.op4_pii(spark, sf).collect()
+    assert {r["doc_id"]: r["scores"] for r in rows if r["doc_id"] is not None} == {i: want for i, (_, want) in enumerate(cases)}
+    assert [(r["n_email"], r["spans"], r["scores"]) for r in rows if r["doc_id"] is None] == [(1, "email:0:6", "0.90")] * 2
+    clash = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 as pii", "2 as spans", "3 as whole", "4 as of_ip")
+    found = pii.with_spans(clash)
+    assert found.columns == [*(c for c in clash.columns if c != "pii"), "pii"] and {r["of_ip"] for r in found.collect()} == {4}
+
+
+def test_many_spans_cost_in_proportion(spark, tmp_path):
+    import time
+
+    n = 40_000
+    sf = table(spark, tmp_path, [(1, "1.2.3.4 " * n, "en", "a")])
+    pii.op4_pii(spark, table(spark, tmp_path / "w", [(1, "1.2.3.4 " * 10, "en", "a")])).collect()
+    start = time.time()
+    row = pii.op4_pii(spark, sf).first()
+    took = time.time() - start
+    assert row["n_ip"] == n and row["base_sha256"] == hashlib.sha256(",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(n)).encode()).hexdigest()
+    assert took < 10
+    assert pii.redacted(spark.read.parquet(f"{sf}/documents.parquet")).first()["text"] == "[IP] " * n
+
+
 def test_media_round_trip(spark, odd):
     got = {r["doc_id"]: r for r in media.op5_media(spark, odd).collect()}
     for i, text in plain(spark, odd):
