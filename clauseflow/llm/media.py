@@ -4,6 +4,10 @@ HTML becomes an ordered array of structs, text and media references in turn; a r
 and keeps its position and caption. Payloads lie in a Parquet table of the shared folder, losslessly, as PNG images of
 8-bit RGB samples, and are found again by joining on the digest. Payload bytes are read where they lie: what a join
 moves is a digest and what was computed from the payload.
+
+The query lays every document's payload into the sequence of a page: after what the page's own HTML holds follows a
+figure for each of its documents. Where a document's figure stands, and under which caption, comes out of the parsed
+sequence, and what its payload holds out of the join on the reference's digest.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ ROW_BYTES = 192  # 64 RGB pixels
 PAD = b"\x20"
 PNG = b"\x89PNG\r\n\x1a\n"
 SEQUENCE = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
+#: A page with more figures than this is several sequences, each with the page's own items before its figures.
+FIGURES = 64
 DIGEST = re.compile(r"sha256:([0-9a-f]{64})")
 
 
@@ -84,16 +91,23 @@ def features(payload: bytes) -> str:
 
 
 class _Sequence(HTMLParser):
-    """Text and media references in document order; scripts and styles are left out, block tags part texts."""
+    """Text and media references in document order; scripts and styles are left out, block tags part texts.
+
+    What a template or noscript holds is left out, too, once it is closed; one that never is, is no reason to lose the
+    rest of the page.
+    """
 
     BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul body title".split())
     MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
+    CODE = frozenset(("script", "style"))
+    HIDDEN = frozenset(("template", "noscript"))
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.skip = 0
+        self.code = 0  # open scripts and styles
+        self.hidden: list[tuple] = []  # of open templates: what was there before
         self.figures: list[dict] = []  # open ones: where their items begin, their captions, where the first of these stands
         self.caption: list[str] | None = None  # of the figure self.owner
         self.owner: dict | None = None
@@ -132,8 +146,10 @@ class _Sequence(HTMLParser):
         self.flush()
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "noscript", "template"):
-            self.skip += 1
+        self.code += tag in self.CODE
+        if tag in self.HIDDEN:
+            self.flush()
+            self.hidden.append((len(self.items), len(self.figures), self.caption and list(self.caption), self.owner))
         if tag in self.BLOCKS:
             self.flush()
         if tag == "figure":
@@ -143,7 +159,7 @@ class _Sequence(HTMLParser):
             self.caption, self.owner = [], self.figures[-1]
             if not self.owner["captions"]:
                 self.owner["at"] = len(self.items)
-        elif tag in self.MEDIA and not self.skip:
+        elif tag in self.MEDIA and not self.code:
             found = dict(attrs)
             if src := (found.get("src") or "").strip():
                 self.flush()
@@ -153,12 +169,16 @@ class _Sequence(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("script", "style", "noscript", "template"):
-            self.skip -= 1
+        if tag in self.CODE or tag in self.HIDDEN:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "noscript", "template"):
-            self.skip = max(0, self.skip - 1)
+        if tag in self.CODE:
+            self.code = max(0, self.code - 1)
+        elif tag in self.HIDDEN and self.hidden:
+            items, figures, self.caption, self.owner = self.hidden.pop()
+            self.text = []
+            del self.items[items:], self.figures[figures:]
         elif tag == "figcaption":
             self.end_caption()
         if tag in self.BLOCKS:
@@ -167,7 +187,7 @@ class _Sequence(HTMLParser):
             self.end_figure()
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.code:
             (self.text if self.caption is None else self.caption).append(data)
 
 
@@ -260,10 +280,52 @@ def read_media(store: DataFrame) -> DataFrame:
     return store.select("digest", "media").mapInArrow(read, schema).groupBy("digest").agg(*[F.min(n).alias(n) for n in names[1:]])
 
 
+def pages_with_figures(store: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sequences of pages (page_id, url, html) into which the documents of a store are laid: page_id, url, sequence, and
+    figures, an array of the documents' doc_id, n_bytes and digest in the order of their references, which come last.
+
+    Documents go to pages in turn. Pages that get none are left out; without any page each document has a sequence of
+    its own. Null or damaged HTML gives no items, and the figures all the same.
+    """
+    parsed = saved(interleaved(pages.select("page_id", "url", "html")).drop("html").withColumn("at", F.monotonically_increasing_id()), "pages")
+    part = F.shiftright("at", 33)
+    counts = sorted((r[0], r[1]) for r in parsed.groupBy(part.alias("p")).count().collect())  # a row for each file read
+    begins, n = [], 0
+    for p, c in counts:
+        begins.append((p, n))
+        n += c
+    offsets = store.sparkSession.createDataFrame(begins or [(0, 0)], "part long, begin long")
+    numbered = parsed.withColumn("part", part).join(F.broadcast(offsets), "part")
+    numbered = numbered.select((F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("page"), "page_id", "url", F.col("sequence").alias("own"))
+
+    figure = F.format_string('<figure><img src="sha256:%s"><figcaption>%s</figcaption></figure>', F.col("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = store.select("doc_id", "n_bytes", "digest", figure.alias("html"), F.monotonically_increasing_id().alias("row"))
+    page = F.pmod("row", F.lit(n)) if n else F.col("row")
+    rows = saved(rows.withColumn("page", page), "figures")
+    blocks = max(1, -(-rows.count() // max(1, n * FIGURES))) if n else 1
+    shares = rows.withColumn("block", F.pmod(F.floor(F.col("row") / F.lit(max(1, n))), F.lit(blocks)))
+    shares = shares.groupBy("page", "block").agg(F.array_sort(F.collect_list(F.struct("row", "doc_id", "n_bytes", "digest", "html"))).alias("all"))
+    shares = shares.withColumn("html", F.array_join(F.transform("all", lambda x: x["html"]), "")).withColumn("figures", F.transform("all", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["n_bytes"].alias("n_bytes"), x["digest"].alias("digest"))))
+    laid = interleaved(shares.select("page", "figures", "html"), name="added").drop("html").join(numbered, "page", "left")
+    own = F.coalesce("own", F.array().cast(SEQUENCE))
+    moved = F.transform("added", lambda x: x.withField("position", x["position"] + F.size(own)))
+    return laid.select("page_id", "url", F.concat(own, moved).alias("sequence"), "figures")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document's stored payload holds, and where its reference stands in the sequence of its page.
+
+    A null or empty text is a payload of blanks. Null ids have an empty caption, repeated rows a reference each; columns
+    other than doc_id and text aren't read. An empty documents table gives no row, a missing or empty pages table leaves
+    each document alone in its sequence.
+    """
     store = stored_texts(table(spark, sf_dir, "documents"))
-    # Each document as a page whose only figure is its payload.
-    html = F.format_string('<figure><img src="sha256:%s"><figcaption>%s</figcaption></figure>', F.col("digest"), F.col("doc_id").cast("string"))
-    pages = interleaved(store.select("doc_id", "n_bytes", html.alias("html"))).drop("html")
-    items = resolved(pages, read_media(store), "doc_id").select("doc_id", "n_bytes", F.explode("sequence").alias("x"))
-    return items.filter("x.item.kind = 'media'").select("doc_id", "n_bytes", "x.payload.*", "x.position", "x.item.caption")
+    try:
+        pages = table(spark, sf_dir, "pages")
+    except AnalysisException:
+        pages = spark.createDataFrame([], "page_id long, url string, html string")
+    whole = resolved(pages_with_figures(store, pages), read_media(store), "page_id")
+    # A document's reference is as far from the sequence's end as its figure from the last one.
+    items = whole.select("page_id", F.posexplode("figures").alias("k", "doc"), F.slice("sequence", F.size("sequence") - F.size("figures") + 1, F.size("figures")).alias("refs"))
+    items = items.select("page_id", "doc", F.get("refs", F.col("k")).alias("x"))
+    return items.select("doc.doc_id", "doc.n_bytes", "x.payload.*", "x.position", F.coalesce("x.item.caption", F.lit("")).alias("caption"), "page_id")

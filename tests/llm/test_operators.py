@@ -335,6 +335,35 @@ def test_resolved_keeps_every_row(spark):
     assert {u: (r["page_id"], [x["payload"] and x["payload"]["bytes"] for x in r["sequence"]]) for u, r in rows.items()} == {"p": (1, [7, None]), "q": (1, [8]), "r": (None, [7]), "s": (None, []), "t": (3, []), "u": (4, [])}
 
 
+def test_documents_stand_in_the_sequences_of_pages(spark, tmp_path, monkeypatch):
+    rows = [(i % 40 if i else None, f"text {i % 90} " * (i % 5), "en", "a") for i in range(120)]
+    sf = table(spark, tmp_path / "t", rows)
+    html = ["<p>one</p><p>two</p>", None, "", '<p>x<template>y<img src="u">', '<img src="sha256:' + "0" * 64 + '" alt="a">z<script>no', "<figure><figcaption>open"]
+    spark.createDataFrame([(i, f"http://p/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    own = {i: len(media.sequence_of(h)) for i, h in enumerate(html)}
+    assert own == {0: 2, 1: 0, 2: 0, 3: 3, 4: 2, 5: 1}
+    for most in (64, 4):
+        monkeypatch.setattr(media, "FIGURES", most)
+        got = media.op5_media(spark, sf).collect()
+        assert sorted((str(r["doc_id"] or ""), r["n_bytes"]) for r in got) == sorted((str(i or ""), len(t)) for i, t, _, _ in rows)
+        assert all(r["caption"] == ("" if r["doc_id"] is None else str(r["doc_id"])) for r in got)
+        places = Counter((r["page_id"], r["position"]) for r in got)
+        assert set(r["page_id"] for r in got) == set(own)
+        for page in own:
+            seen = sorted(p for i, p in places if i == page)
+            assert seen == list(range(own[page], own[page] + len(seen))) and len(seen) <= most
+        for r in got:
+            text = next(t for i, t, _, _ in rows if (i, len(t)) == (r["doc_id"], r["n_bytes"]) and hashlib.sha256(media.padded(t.encode())).hexdigest() == r["payload_sha256"])
+            assert r["payload_bytes"] == len(media.padded(text.encode()))
+
+
+def test_open_templates_lose_nothing():
+    shown = lambda html: [x["text"] for x in media.sequence_of(html)]
+    assert shown("a<template>b</template>c<noscript>d<p>e") == ["a", "c", "d", "e"]
+    assert shown('a<noscript><figure><img src="u"></noscript>b<template/>c') == ["a", "b", "c"]
+    assert shown("a<template>b<template>c</template>d</template>e<script>f") == ["a", "e"]
+
+
 def test_captions_lose_nothing():
     shown = lambda html: [(x["kind"], x["text"], x["caption"]) for x in media.sequence_of(html)]
     assert shown('<figure><figcaption>first</figcaption><img src="u"></figure>') == [("media", "u", "first")]
