@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import chinese_number, date_key, date_key_of, matches, party_side, strip, window_before
+from .schemas import DDL, FINDING_CODES
 
 CODES = ("amount_conflict", "date_conflict", "party_conflict", "reference_conflict")
 DEPOSITS, BALANCES, TOTAL = ("首付款", "定金", "预付款"), ("余款",), "合同总价"
@@ -137,6 +138,26 @@ CHECKS = (
 )
 
 
+def model_findings(responses: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Contradictions that a model names (contract_id, batch, response), in the form of the checks' findings.
+
+    Codes outside the list and empty messages go, unknown clauses are left out. If one batch of a contract failed, none of
+    its model findings count: a contract looked at in part would pass for one that was looked at.
+    """
+    parsed = responses.select("contract_id", "batch", F.from_json("response", DDL["contract_consistency_review"]).alias("r"))
+    whole = parsed.groupBy("contract_id").agg(F.count_if(F.col("r").isNull()).alias("failed")).filter("failed = 0").select("contract_id")
+    items = parsed.join(whole, "contract_id", "left_semi").select("contract_id", "batch", F.posexplode("r.findings").alias("i", "x"))
+    items = items.withColumn("code", F.coalesce(F.nullif(F.col("x.code"), F.lit("")), F.lit("semantic_conflict"))).withColumn("message", F.substring(strip(F.coalesce("x.message", F.lit(""))), 1, 300))
+    items = items.filter((F.col("message") != "") & F.col("code").isin(*FINDING_CODES))
+    known = clauses.groupBy("contract_id").agg(F.collect_set("clause_id").alias("known"))
+    items = items.join(known, "contract_id").withColumn("named", F.filter(F.coalesce("x.clause_ids", F.array().cast("array<string>")), lambda c: F.array_contains("known", c)))
+    sure = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("x.confidence", F.lit(0.7)))), 2)
+    return items.select(
+        "contract_id", "code", F.coalesce(F.nullif(F.col("x.severity"), F.lit("")), F.lit("medium")).alias("severity"), "message",
+        F.array(F.substring(strip(F.coalesce("x.evidence", F.lit(""))), 1, 400)).alias("evidence"), F.col("named").alias("clause_ids"), sure.alias("confidence"), F.format_string("%09d%09d", "batch", "i").alias("_order"),
+    )
+
+
 def without_repeats(found: DataFrame) -> DataFrame:
     """One finding for each code and message (its first 80 signs without blanks), the first, numbered anew."""
     key = F.substring(F.regexp_replace("message", r"(?U)\s", ""), 1, 80)
@@ -146,9 +167,14 @@ def without_repeats(found: DataFrame) -> DataFrame:
     return found.withColumn("finding_id", F.format_string("F%04d", "seq"))
 
 
-def findings(clauses: DataFrame, elements: DataFrame, checks=CHECKS) -> DataFrame:
-    """All checks of all contracts. elements are those of patterns, before merging; they are read once by each check."""
+def findings(clauses: DataFrame, elements: DataFrame, checks=CHECKS, responses: DataFrame | None = None) -> DataFrame:
+    """All checks of all contracts. elements are those of patterns, before merging; they are read once by each check.
+
+    responses: a model's answers, whose findings come after those of the checks.
+    """
     each = [check(clauses, elements).withColumn("_rank", F.lit(i)).withColumn("source", F.lit("m4_rule")) for i, check in enumerate(checks)]
+    if responses is not None:
+        each.append(model_findings(responses, clauses).withColumn("_rank", F.lit(len(checks))).withColumn("source", F.lit("m4_llm")))
     return without_repeats(reduce(DataFrame.unionByName, each))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import date_key, let, matches, money_number, nearest_role, party_name, strip
 from .fold import by_group, packed_by_budget
+from .schemas import DDL
 
 KINDS = ("party", "amount", "date", "subject")
 _ITEM = "array<struct<at:int,kind:string,value:string,normalized:string,role:string,confidence:double>>"
@@ -124,23 +125,46 @@ def batches(clauses: DataFrame, budget: int = 8_000, cut: int = 2_000) -> DataFr
     return clauses.join(placed.drop("size"), ["contract_id", "clause_seq"])
 
 
-MODEL_ITEMS = "struct<" + ",".join(f"{k}:array<struct<value:string,normalized:string,role:string,clause_id:string,source_text:string,confidence:double>>" for k in ("parties", "amounts", "dates", "subjects")) + ">"
+MODEL_ITEMS = DDL["contract_element_extraction"]
 
 
 def from_model(responses: DataFrame, clauses: DataFrame) -> DataFrame:
     """Elements of model answers (contract_id, response): empty values go, unknown clauses are null, numbers are clamped."""
-    parsed = responses.select("contract_id", F.from_json("response", MODEL_ITEMS).alias("r"))
+    if "batch" not in responses.columns:
+        responses = responses.withColumn("batch", F.lit(0))
+    parsed = responses.select("contract_id", "batch", F.from_json("response", MODEL_ITEMS).alias("r"))
     kinds = {"parties": "party", "amounts": "amount", "dates": "date", "subjects": "subject"}
-    rows = parsed.select("contract_id", F.explode(F.concat(*[F.transform(F.coalesce(f"r.{k}", F.array().cast("array<struct<value:string,normalized:string,role:string,clause_id:string,source_text:string,confidence:double>>")), _tagged(v)) for k, v in kinds.items()])).alias("x"))
-    rows = rows.select("contract_id", "x.*").withColumn("value", F.substring(strip(F.coalesce("value", F.lit(""))), 1, 200)).filter("value <> ''")
+    rows = parsed.select("contract_id", "batch", F.explode(F.concat(*[F.transform(F.coalesce(f"r.{k}", F.array().cast("array<struct<value:string,normalized:string,role:string,clause_id:string,source_text:string,confidence:double>>")), _tagged(v)) for k, v in kinds.items()])).alias("x"))
+    rows = rows.select("contract_id", "batch", "x.*").withColumn("value", F.substring(strip(F.coalesce("value", F.lit(""))), 1, 200)).filter("value <> ''")
     known = clauses.select("contract_id", "clause_id", "clause_seq", "block_ids")
     rows = rows.join(known, ["contract_id", "clause_id"], "left").withColumn("clause_id", F.when(F.col("clause_seq").isNotNull(), F.col("clause_id")))
     return rows.select(
         "contract_id", "clause_seq", "clause_id", F.coalesce("block_ids", F.array().cast("array<string>")).alias("block_ids"), "kind", "value",
         F.substring(F.coalesce("normalized", F.lit("")), 1, 80).alias("normalized"), F.substring(F.coalesce("role", F.lit("")), 1, 40).alias("role"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))).alias("confidence"), F.lit("llm").alias("source"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))), 2).alias("confidence"), F.lit("llm").alias("source"), "batch",
     )
 
 
 def _tagged(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x["value"].alias("value"), x["normalized"].alias("normalized"), x["role"].alias("role"), x["clause_id"].alias("clause_id"), x["confidence"].alias("confidence"))
+
+
+def with_model(tree: DataFrame, responses: DataFrame, kinds: tuple[str, ...] = KINDS) -> tuple[DataFrame, DataFrame]:
+    """(elements, summary) by patterns and by a model's answers (contract_id, batch, response), merged; patterns come first.
+
+    An answer that failed costs its own batch alone. summary: a row for each contract with clauses, rule_elements,
+    batches, succeeded, llm_elements, merged_elements.
+    """
+    rules = extract(tree, kinds)
+    good = responses.filter(F.from_json("response", MODEL_ITEMS).isNotNull())
+    said = from_model(good, tree)
+    order = W.partitionBy("contract_id").orderBy("batch", "clause_seq", "kind", "value")
+    last = rules.groupBy("contract_id").agg(F.max("seq").alias("_n"))
+    said = said.join(last, "contract_id", "left").withColumn("seq", F.coalesce("_n", F.lit(0)) + F.row_number().over(order)).drop("_n", "batch")
+    said = said.withColumn("element_id", F.format_string("E%04d", "seq"))
+    merged = merge(rules.unionByName(said.select(*rules.columns)))
+    count = lambda frame, name: frame.groupBy("contract_id").agg(F.count("*").alias(name))
+    summary = count(tree, "clauses")
+    for frame, name in ((rules, "rule_elements"), (responses, "batches"), (good, "succeeded"), (said, "llm_elements"), (merged, "merged_elements")):
+        summary = summary.join(count(frame, name), "contract_id", "left")
+    return merged, summary.na.fill(0)

@@ -14,20 +14,54 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import citation, lookup
 from .fold import add_new, folded
+from .schemas import DDL
 
 CITATION = "struct<law_name:string,article_no:string,quote:string,source_url:string>"
 _NONE = "array<string>"
 RANK = {"high": 0, "medium": 1, "low": 2}
-CLAUSE_RISKS = "struct<risks:array<struct<code:string,severity:string,clause_id:string,reason:string,evidence:string>>>"
-CONFLICTS = "struct<conflicts:array<struct<code:string,severity:string,clause_ids:array<string>,reason:string,evidence:string>>>"
-VERDICTS = "struct<verdicts:array<struct<candidate_id:string,assessment:string,severity:string,reason:string,article_uid:string,quote:string>>>"
-DECISIONS = "struct<verdicts:array<struct<candidate_id:string,keep:boolean,severity:string,review_required:boolean,rationale:string>>,overall_assessment:string,overall_score:int,summary:string>"
+CLAUSE_RISKS, CONFLICTS, VERDICTS, DECISIONS = (DDL[n] for n in ("clause_risk_review", "cross_clause_conflict_review", "legal_application_verdict", "final_adjudication"))
+UNDERSTOOD, ARBITRATED = DDL["contract_understanding"], DDL["cross_module_arbitration"]
+OTHER_ROLE = "其他"
 
 
 def severity_rank(severity: Column) -> Column:
     return lookup(RANK, severity, F.lit(1))
 
 
+def understood(responses: DataFrame, tree: DataFrame, reason: str = "") -> DataFrame:
+    """What a model (responses: contract_id, response) takes each contract for: contract_type, summaries, key_obligations,
+    clause_roles, source and unavailable_reason.
+
+    Roles of unknown clauses go, clauses without one are of another kind. A contract without an answer is marked as
+    unavailable, with nothing in it that could pass for an analysis.
+    """
+    parsed = responses.select("contract_id", F.from_json("response", UNDERSTOOD).alias("r")).filter("r is not null and r.clause_roles is not null")
+    ids = tree.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("clause_seq", "clause_id"))).alias("_ids"))
+    rows = ids.join(parsed, "contract_id", "left").withColumn("_ids", F.transform("_ids", lambda x: x["clause_id"]))
+    roles = F.filter("r.clause_roles", lambda x: F.array_contains("_ids", x["clause_id"]))
+    named = F.transform(roles, lambda x: x["clause_id"])
+    rest = F.transform(F.filter("_ids", lambda i: ~F.array_contains(named, i)), lambda i: F.struct(i.alias("clause_id"), F.lit(OTHER_ROLE).alias("role")))
+    heard, none = F.col("r").isNotNull(), F.array().cast("array<struct<clause_id:string,role:string>>")
+    text = lambda c: F.coalesce(f"r.{c}", F.lit("")).alias(c)
+    return rows.select(
+        "contract_id", text("contract_type"), text("subject_summary"), text("payment_summary"), F.coalesce("r.key_obligations", F.array().cast(_NONE)).alias("key_obligations"),
+        F.when(heard, F.concat(roles, rest)).otherwise(none).alias("clause_roles"), F.when(heard, "llm").otherwise("unavailable").alias("source"),
+        F.when(~heard, F.lit(reason or "没有可用的模型回答。")).alias("unavailable_reason"),
+    )
+
+
+def arbitrated(responses: DataFrame, risks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conflicts, material): conflicts (contract_id, type, description, involved_ids, resolution) of contracts with risks, and
+    contract_id, material for those with an answer. Without an answer there is no conflict, and nothing is held up."""
+    parsed = responses.select("contract_id", F.from_json("response", ARBITRATED).alias("r")).filter("r is not null").join(risks.select("contract_id").distinct(), "contract_id", "left_semi")
+    items = parsed.select("contract_id", F.posexplode("r.conflicts").alias("i", "x"))
+    conflicts = items.select(
+        "contract_id", "i", F.coalesce(F.nullif(F.col("x.type"), F.lit("")), F.lit("unknown")).alias("type"), F.coalesce("x.description", F.lit("")).alias("description"),
+        F.coalesce("x.involved_ids", F.array().cast(_NONE)).alias("involved_ids"), F.coalesce("x.resolution", F.lit("")).alias("resolution"),
+    )
+    return conflicts, parsed.select("contract_id", F.coalesce("r.has_material_conflict", F.lit(False)).alias("material"))
+
+
 def _numbered(rows: DataFrame, prefix: str, order: list) -> DataFrame:
     rows = rows.withColumn("seq", F.row_number().over(W.partitionBy("contract_id").orderBy(*order)))
     return rows.withColumn("candidate_id", F.format_string(f"{prefix}%04d", "seq"))
@@ -227,9 +261,33 @@ def report_counts(risks: DataFrame) -> DataFrame:
     return sides.groupBy("s.dimension", "s.value").agg(F.count("*").alias("n"), F.sum("x").alias("cross_validated"))
 
 
-def report_json(risks: DataFrame, queue: DataFrame, overall_rows: DataFrame) -> DataFrame:
-    """One JSON report for each contract."""
-    r = risks.withColumn("category_label", lookup(P.ASSESSMENTS, F.col("category"), F.col("category"))).groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("risk_id", "code", "severity", "message", "citations", "clause_ids", "confidence", "review_required", "rationale", "agent_sources", "category", "category_label", "cross_validated", "evidence"))).alias("risks"))
+def report_json(risks: DataFrame, queue: DataFrame, overall_rows: DataFrame, loops: DataFrame | None = None, conflicts: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """One JSON report for each contract, with counts of its risks by code, category and severity, and of the loop's turns.
+
+    loops: contract_id and the counters; conflicts: of arbitrated(); candidates: contract_id and candidate counts.
+    """
+    label = lookup(P.ASSESSMENTS, F.col("category"), F.col("category"))
+    shown = F.struct("risk_id", "code", "severity", "message", "citations", "clause_ids", "block_ids", "confidence", "review_required", "rationale", "agent_sources", "category", "category_label", "cross_validated", "evidence")
+    r = risks.withColumn("category_label", label).groupBy("contract_id").agg(F.array_sort(F.collect_list(shown)).alias("risks"), F.count("*").alias("final_risks"), F.count_if("cross_validated").alias("cross_validated"))
+    sides = risks.select("contract_id", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("v")) for d in ("code", "category", "severity")])).alias("s"))
+    sides = sides.groupBy("contract_id", "s.d", "s.v").agg(F.count("*").alias("n")).groupBy("contract_id")
+    by = sides.agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("d") == d, F.struct("v", "n"))))).alias(f"by_{d}") for d in ("code", "category", "severity")])
     q = queue.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct("risk_id", "code", "clause_id", "reason"))).alias("review_queue"))
-    rows = overall_rows.join(r, "contract_id", "left").join(q, "contract_id", "left")
-    return rows.select("contract_id", F.to_json(F.struct(F.lit("m6").alias("schema_version"), "overall_assessment", "overall_score", "risks", "review_queue")).alias("report"))
+    rows = overall_rows.join(r, "contract_id", "left").join(by, "contract_id", "left").join(q, "contract_id", "left")
+    stats = ["final_risks", "cross_validated", "by_code", "by_category", "by_severity", F.greatest(F.size("review_queue"), F.lit(0)).alias("review_required")]
+    body = ["overall_assessment", "overall_score", "risks", "review_queue"]
+    rows = rows.na.fill(0, ["final_risks", "cross_validated"])
+    if conflicts is not None:
+        held = conflicts.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("i", "type", "description", "involved_ids", "resolution"))).alias("conflicts"))
+        rows = rows.join(held, "contract_id", "left")
+        body.append(F.transform(F.coalesce("conflicts", F.array().cast(held.schema["conflicts"].dataType)), lambda x: x.dropFields("i")).alias("conflicts"))
+        stats.append(F.greatest(F.size("conflicts"), F.lit(0)).alias("conflicts"))
+    if loops is not None:
+        names = [c for c in loops.columns if c != "contract_id"]
+        rows = rows.join(loops.select("contract_id", F.struct(*names).alias("loops")), "contract_id", "left")
+        stats.append("loops")
+    if candidates is not None:
+        names = [c for c in candidates.columns if c != "contract_id"]
+        rows = rows.join(candidates, "contract_id", "left").na.fill(0, names)
+        stats += names
+    return rows.select("contract_id", F.to_json(F.struct(F.lit("m6").alias("schema_version"), "contract_id", *body, F.struct(*stats).alias("stats"))).alias("report"))

@@ -233,11 +233,14 @@ def with_parents(tree: DataFrame) -> DataFrame:
 
 
 def stats(blocks: DataFrame, tree: DataFrame, decided: DataFrame) -> DataFrame:
-    """Counts a contract: characters, blocks, clauses, boundaries to review, pages."""
-    b = blocks.groupBy("contract_id").agg(F.sum(F.length("text")).alias("characters"), F.count("*").alias("blocks"), F.max("page").alias("pages") if "page" in blocks.columns else F.lit(None).cast("int").alias("pages"))
+    """Counts a contract: characters (and those before cleaning), blocks, clauses, boundaries to review and those that a
+    model decided, pages."""
+    raw = F.coalesce("raw_text", "text") if "raw_text" in blocks.columns else F.col("text")
+    b = blocks.groupBy("contract_id").agg(F.sum(F.length("text")).alias("characters"), F.sum(F.length(raw)).alias("raw_characters"), F.count("*").alias("blocks"), F.max("page").alias("pages") if "page" in blocks.columns else F.lit(None).cast("int").alias("pages"))
     c = tree.groupBy("contract_id").agg(F.count("*").alias("clauses"))
-    d = decided.groupBy("contract_id").agg(F.count_if("review_required").alias("review_boundaries"))
-    return b.join(c, "contract_id", "left").join(d, "contract_id", "left").na.fill(0, ["clauses", "review_boundaries"])
+    by_model = F.col("decision_source").startswith("llm:") if "decision_source" in decided.columns else F.lit(False)
+    d = decided.groupBy("contract_id").agg(F.count_if("review_required").alias("review_boundaries"), F.count_if(by_model).alias("llm_reviewed_boundaries"))
+    return b.join(c, "contract_id", "left").join(d, "contract_id", "left").na.fill(0, ["clauses", "review_boundaries", "llm_reviewed_boundaries"])
 
 
 def unnumbered(tree: DataFrame) -> DataFrame:

@@ -115,7 +115,10 @@ def test_tags(spark):
 
 
 def test_segments_cover_every_block(spark):
-    assert segment.repaired(list("abcdef"), dict.fromkeys("abc", 0) | dict.fromkeys("def", 1), [(0, ["b", "zz"]), (1, ["e", "b"])]) == [["a"], ["b", "c", "d"], ["e", "f"]]
+    six = spark.createDataFrame([("k", i, b, int(i > 3)) for i, b in enumerate("abcdef", 1)], "contract_id string, seq int, block_id string, batch int")
+    said = spark.createDataFrame([("k", 0, '{"clauses": [{"block_ids": ["b", "zz"]}]}'), ("k", 1, '{"clauses": [{"block_ids": ["e", "b"]}]}')], "contract_id string, batch int, response string")
+    rows = segment.segments(six, said).orderBy("segment", "place").collect()
+    assert [[r["block_id"] for r in rows if r["segment"] == s] for s in (1, 2, 3)] == [["a"], ["b", "c", "d"], ["e", "f"]]
     assert segment.cut_batches([5, 5, 5, 5], [True, False, True, False], 3, 100) == [0, 0, 1, 1]
     assert packed_by_budget([4, 4, 9, 1], 8) == [0, 0, 1, 2]
     blocks = spark.createDataFrame([("k", i, f"B{i}", 0) for i in range(1, 6)], "contract_id string, seq int, block_id string, batch int")
@@ -136,3 +139,94 @@ def test_transport_keeps_errors_as_rows(spark):
     assert rows["1"]["json"] == '{"x": 1}' and rows["2"]["response"] is None and "ValueError" in rows["2"]["error"]
     texts = spark.createDataFrame([(1, "甲"), (2, None)], "id long, text string")
     assert [len(r["embedding"]) for r in transport.embedded(texts, transport.hash_embedding).collect()] == [64, 64]
+
+
+def split_answers(spark, replies):
+    """An asker that answers each contract's split requests in turn; None fails."""
+    import json
+
+    turns = []
+
+    def ask(schema, requests):
+        rows = requests.collect()
+        turns.append(sorted((r["contract_id"], r["batch"]) for r in rows))
+        said = [(r["contract_id"], r["batch"], None if (x := replies[r["contract_id"]].pop(0)) is None else json.dumps({"clauses": x})) for r in sorted(rows, key=lambda r: (r["contract_id"], r["batch"]))]
+        return spark.createDataFrame(said, "contract_id string, batch int, response string")
+
+    return ask, turns
+
+
+def item(label, ids, level=2, sure=0.95, title=""):
+    return {"label": label, "title": title, "level": level, "block_ids": ids, "confidence": sure}
+
+
+def test_split_asks_again_about_damaged_windows_only(spark):
+    from pyspark.sql import functions as F
+
+    from clauseflow.operators import structure
+
+    lines = ["第一条 甲", "一二三", "第二条 乙", "四五六"]
+    rows = [(c, i, "paragraph", t) for c in ("better", "worse", "fails", "fine", "broken") for i, t in enumerate(lines, 1)]
+    blocks, decided, _ = structure.analyze(spark.createDataFrame(rows, "contract_id string, seq int, kind string, text string"))
+    good = [item("第一条", ["B0001", "B0002"], title="甲"), item("第二条", ["B0003", "B0004"])]
+    low = [item("第一条", ["B0001", "B0002"]), item("第二条", ["B0003", "B0004"], sure=0.3)]
+    ask, turns = split_answers(spark, {"better": [low, [item("第二条", ["B0003"]), item("（一）", ["B0004"], 3)]], "worse": [low, [item("第一条", ["B0001", "B0002"]), item("第二条", ["B0003", "B0004"], sure=0.2)]], "fails": [low, None], "fine": [good], "broken": [None]})
+    done = segment.split_contracts(blocks, decided, ask)
+    assert turns == [[(c, 0) for c in ("better", "broken", "fails", "fine", "worse")], [(c, 1) for c in ("better", "fails", "worse")]]
+    summary = {r["contract_id"]: (r["succeeded"], r["issues_before"], r["issues_after"], r["rounds"], r["reflowed"], r["adopted"]) for r in done.summary.collect()}
+    assert summary == {"better": (1, 1, 0, 1, 4, 1), "worse": (1, 1, 1, 1, 4, 0), "fails": (1, 1, 1, 0, 0, 0), "fine": (1, 0, 0, 0, 0, 0), "broken": (0, 0, 0, 0, 0, 0)}
+    tree = {}
+    for r in done.clauses.orderBy("clause_seq").collect():
+        tree.setdefault(r["contract_id"], []).append((r["label"], r["level"], r["heading"], r["body"]))
+    assert tree["fine"] == [("第一条", 2, "第一条 甲", "一二三"), ("第二条", 2, "第二条", "乙\n四五六")]
+    assert [x[0] for x in tree["better"]] == ["第二条", "（一）"] and "broken" not in tree
+    covered = done.segments.groupBy("contract_id").agg(F.sort_array(F.collect_list("block_id")).alias("b")).collect()
+    assert all(r["b"] == ["B0001", "B0002", "B0003", "B0004"] for r in covered) and len(covered) == 4
+
+
+def test_window_answers_keep_every_block(spark):
+    rows = [("k", 5, i, i, f"B{i}", "t", "", "", 2, 0.5, 5) for i in range(1, 6)]
+    shown = spark.createDataFrame(rows, "contract_id string, segment int, place int, seq int, block_id string, text string, label string, title string, level int, confidence double, batch int")
+    for answer, want in (([item("x", ["B4", "B2"]), item("y", ["B2", "B5"])], [0, 0, 0, 0, 1]), ([], [-1] * 5), ([item("x", ["zz"])], [-1] * 5), ([item("x", ["B3"]), item("y", ["B2"])], [0, 1, 0, 0, 0])):
+        ask, _ = split_answers(spark, {"k": [answer]})
+        found = segment.window_segments(shown, ask("s", spark.createDataFrame([("k", 5)], "contract_id string, batch int"))).orderBy("seq").collect()
+        assert [r["item"] for r in found] == want
+
+
+def test_boundary_answers(spark):
+    import json
+
+    from clauseflow.operators import structure
+
+    rows = [("k", i, "paragraph", t) for i, t in enumerate(["甲", "乙", "丙", "丁", "戊", "己", "庚"], 1)]
+    blocks, decided, _ = structure.analyze(spark.createDataFrame(rows, "contract_id string, seq int, kind string, text string"))
+    said = [
+        ("D0001", "NEW_CLAUSE", 0.99, "TITLE"), ("D0001", "SAME_CLAUSE", 0.99, "BODY"), ("D0002", "NEW_CLAUSE", 0.7, "BODY"), ("D0003", "NEW_CLAUSE", 0.5, "BODY"),
+        ("D0004", "NEW_CLAUSE", 0.9, "HEADLINE"), ("D0005", "OTHER", 0.9, "BODY"), ("D0099", "NEW_CLAUSE", 0.9, "BODY"),
+    ]
+    reply = json.dumps({"boundaries": [{"boundary_id": b, "relation": r, "confidence": c, "right_block_role": role, "inferred_title": "", "reason": "why"} for b, r, c, role in said]})
+
+    def ask(schema, requests):
+        assert requests.count() == 1 and "D0006" in requests.first()["prompt"]
+        return spark.createDataFrame([("k", 0, reply)], "contract_id string, batch int, response string")
+
+    changed, tree, summary = segment.review_boundaries(blocks, decided, ask, "m")
+    got = {r["boundary_id"]: (r["relation"], r["confidence"], r["decision_source"], r["review_required"]) for r in changed.collect()}
+    assert got["D0001"] == ("NEW_CLAUSE", 0.95, "llm:m", False) and got["D0002"] == ("NEW_CLAUSE", 0.7, "llm:m", True)
+    assert got["D0003"] == ("SAME_CLAUSE", 0.42, "llm_unresolved:m", True)
+    assert got["D0004"] == got["D0005"] == got["D0006"] == ("SAME_CLAUSE", 0.42, "default_rule", True)
+    warnings = {r["boundary_id"]: r["warnings"] for r in changed.collect()}
+    assert warnings["D0001"] == [] and len(warnings["D0003"]) == 2 and len(warnings["D0004"]) == 1
+    assert summary.first().asDict() == {"contract_id": "k", "requested": 6, "batches": 1, "failed": 0, "responded": 5, "accepted": 1, "unresolved": 5}
+    assert [r["label"] for r in tree.orderBy("clause_seq").collect()] == ["前言", "未编号", "未编号"]
+    far = spark.createDataFrame([("k", s, True) for s in (2, 10, 21, 22, 60)], "contract_id string, seq int, review_required boolean")
+    many = spark.createDataFrame([("k", s) for s in range(1, 61)], "contract_id string, seq int")
+    assert [(r["seq"], r["batch"], r["begin"], r["end"]) for r in segment.target_batches(far, many).orderBy("seq").collect()] == [(2, 0, 1, 12), (10, 0, 1, 12), (21, 1, 19, 24), (22, 1, 19, 24), (60, 2, 58, 60)]
+
+
+def test_warnings_are_refreshed(spark):
+    old = spark.createDataFrame([("k", ["[结构校验] x", "3处等待语义模型或人工复核", "未识别到明确的条款编号。", "留下"])], "contract_id string, warnings array<string>")
+    tree = spark.createDataFrame([("k", 1), ("k", 2)], "contract_id string, clause_seq int")
+    found = spark.createDataFrame([("k", "duplicate_label")], "contract_id string, code string")
+    assert segment.refreshed_warnings(old, tree, found).first()["warnings"] == ["留下", "[结构校验] duplicate_label"]
+    assert segment.refreshed_warnings(old, tree.limit(1), found.limit(0)).first()["warnings"] == ["未识别到明确的条款编号。", "留下"]
