@@ -230,3 +230,139 @@ def test_warnings_are_refreshed(spark):
     found = spark.createDataFrame([("k", "duplicate_label")], "contract_id string, code string")
     assert segment.refreshed_warnings(old, tree, found).first()["warnings"] == ["留下", "[结构校验] duplicate_label"]
     assert segment.refreshed_warnings(old, tree.limit(1), found.limit(0)).first()["warnings"] == ["未识别到明确的条款编号。", "留下"]
+
+
+def reviewed(spark, script, texts=("付款",), limits=None):
+    """run_review over contracts with scripted answers: {contract: {schema: [answer, ...]}}; the last answer goes on, a
+    missing schema fails. Returns the review and the calls by schema."""
+    import json
+    from collections import defaultdict
+
+    rows = [(c, i, f"C{i:04d}", f"第{i}条", "", "", t, 2, None, [f"B{i:04d}"]) for c in script for i, t in enumerate(texts, 1)]
+    tree = spark.createDataFrame(rows, "contract_id string, clause_seq int, clause_id string, label string, title string, heading string, text string, level int, parent_id string, block_ids array<string>")
+    calls = defaultdict(list)
+
+    def ask(schema, requests):
+        out = []
+        for r in requests.collect():
+            assert "prompt" in requests.columns and r["prompt"]
+            calls[schema].append(r["contract_id"])
+            left = script[r["contract_id"]].get(schema, [None])
+            answer = left.pop(0) if len(left) > 1 else left[0]
+            out.append((r["contract_id"], r["batch"], None if answer is None else json.dumps(answer)))
+        return spark.createDataFrame(out, "contract_id string, batch int, response string")
+
+    def search(queries):
+        found = queries.selectExpr("contract_id", "candidate_id", "'a1' as article_uid", "'民法典' as law_name", "'第一条' as article_no", "cast(null as string) as source_url")
+        return found
+
+    return loop.run_review(tree, ask, search, limits), calls
+
+
+def clause_risk(code="unfair_term", severity="high"):
+    return {"risks": [{"code": code, "severity": severity, "clause_id": "C0001", "reason": "r", "evidence": "e"}, {"code": code, "severity": severity, "clause_id": "C9", "reason": "", "evidence": ""}]}
+
+
+def verdict(assessment="legal_risk", uid="a1"):
+    return {"verdicts": [{"candidate_id": "KC0001", "assessment": assessment, "severity": "high", "reason": "违反。", "article_uid": uid, "quote": "。"}]}
+
+
+def ruling(score, keep=True):
+    return {"verdicts": [{"candidate_id": "KC0001", "keep": keep, "severity": "", "review_required": False, "rationale": "why"}], "overall_assessment": "medium_risk", "overall_score": score, "summary": "s"}
+
+
+def test_review_loops_run_by_contract(spark):
+    conflict = {"conflicts": [{"type": "severity_mismatch", "description": "d", "involved_ids": ["R0001"], "resolution": "x"}], "has_material_conflict": True}
+    calm = {"conflicts": [], "has_material_conflict": False}
+    base = lambda **more: {"clause_risk_review": [clause_risk()], "legal_application_verdict": [verdict()], "final_adjudication": [ruling(60)], "cross_module_arbitration": [calm]} | more
+    script = {
+        "plain": base(),
+        "law": base(legal_application_verdict=[{"verdicts": []}, verdict()]),
+        "facts": base(legal_application_verdict=[verdict("insufficient_facts")], final_adjudication=[ruling(50), ruling(55)]),
+        "clash": base(cross_module_arbitration=[conflict, calm], final_adjudication=[ruling(40), ruling(70)]),
+        "deaf": base(final_adjudication=[None]),
+        "mute": {},
+        "none": base(clause_risk_review=[{"risks": []}]),
+    }
+    done, calls = reviewed(spark, script)
+    loops = {r["contract_id"]: (r["legal_retries"], r["judge_retries"], r["evidence_rounds"], r["arbitration_rounds"]) for r in done.loops.collect()}
+    assert loops == {"plain": (0, 0, 0, 0), "law": (1, 0, 0, 0), "facts": (0, 0, 1, 0), "clash": (0, 0, 0, 1), "deaf": (0, 2, 0, 0), "mute": (0, 0, 0, 0), "none": (0, 0, 0, 0)}
+    count = lambda schema: {c: calls[schema].count(c) for c in script}
+    assert count("clause_risk_review") == dict.fromkeys(script, 1) | {"facts": 2}
+    assert count("final_adjudication") == {"plain": 1, "law": 1, "facts": 2, "clash": 2, "deaf": 2, "mute": 0, "none": 0}
+    assert count("cross_module_arbitration") == {"plain": 1, "law": 1, "facts": 1, "clash": 2, "deaf": 1, "mute": 0, "none": 0}
+    overall = {r["contract_id"]: (r["overall_assessment"], r["overall_score"]) for r in done.overall.collect()}
+    assert overall == {"plain": ("medium_risk", 60), "law": ("medium_risk", 60), "facts": ("medium_risk", 55), "clash": ("medium_risk", 70), "deaf": ("unknown", None), "mute": ("low_risk", 90), "none": ("low_risk", 90)}
+    risks = {r["contract_id"]: r for r in done.risks.collect()}
+    assert set(risks) == {"plain", "law", "facts", "clash", "deaf"} and risks["law"]["citations"][0]["article_no"] == "第一条"
+    assert {c for c, r in risks.items() if r["review_required"]} == {"facts", "deaf"} and risks["deaf"]["confidence"] == 0.5
+    assert {r["contract_id"]: r["source"] for r in done.understanding.collect()} == dict.fromkeys(script, "unavailable")
+    assert done.conflicts.isEmpty()
+    import json
+
+    reports = {r["contract_id"]: json.loads(r["report"]) for r in done.report().collect()}
+    assert reports["facts"]["stats"]["loops"]["evidence_rounds"] == 1 and reports["plain"]["stats"]["by_severity"] == {"high": 1} and reports["none"]["stats"]["final_risks"] == 0
+
+
+def test_understanding_covers_every_clause(spark):
+    import json
+
+    tree = spark.createDataFrame([("a", 1, "C0001"), ("a", 2, "C0002"), ("b", 1, "C0001")], "contract_id string, clause_seq int, clause_id string")
+    answer = {"contract_type": "租赁", "subject_summary": "s", "payment_summary": "p", "key_obligations": ["o"], "clause_roles": [{"clause_id": "C0002", "role": "付款"}, {"clause_id": "C9", "role": "x"}]}
+    rows = {r["contract_id"]: r for r in review.understood(spark.createDataFrame([("a", json.dumps(answer)), ("b", None)], "contract_id string, response string"), tree).collect()}
+    assert [tuple(x) for x in rows["a"]["clause_roles"]] == [("C0002", "付款"), ("C0001", "其他")] and rows["a"]["source"] == "llm"
+    assert (rows["b"]["source"], rows["b"]["clause_roles"], rows["b"]["contract_type"]) == ("unavailable", [], "") and rows["b"]["unavailable_reason"]
+
+
+def test_model_findings_and_elements(spark):
+    import json
+
+    from clauseflow.operators import checks, elements
+
+    tree = spark.createDataFrame([(c, 1, "C0001", "一", "合同总价100元。", ["B1"]) for c in ("a", "b")], "contract_id string, clause_seq int, clause_id string, label string, text string, block_ids array<string>")
+    finding = lambda code, message, ids: {"code": code, "severity": "", "message": message, "evidence": "e", "clause_ids": ids, "confidence": 2}
+    good = json.dumps({"findings": [finding("semantic_conflict", "m", ["C0001", "C9"]), finding("other", "m", []), finding("date_conflict", " ", []), finding("semantic_conflict", "m ", [])]})
+    said = spark.createDataFrame([("a", 0, good), ("b", 0, good), ("b", 1, None)], "contract_id string, batch int, response string")
+    rows = checks.findings(tree, elements.extract(tree), responses=said).collect()
+    assert [(r["contract_id"], r["code"], r["severity"], r["clause_ids"], r["confidence"], r["source"]) for r in rows] == [("a", "semantic_conflict", "medium", ["C0001"], 1.0, "m4_llm")]
+    more = json.dumps({"amounts": [{"value": "100", "normalized": "100", "role": "r", "clause_id": "C0001", "confidence": 0.99}, {"value": "7元", "normalized": "7", "role": "r", "clause_id": "C9", "confidence": -1}], "parties": [], "dates": [], "subjects": []})
+    merged, summary = elements.with_model(tree, spark.createDataFrame([("a", 0, more), ("b", 0, None)], "contract_id string, batch int, response string"))
+    assert sorted((r["contract_id"], r["normalized"], r["clause_id"], r["source"], r["confidence"]) for r in merged.collect()) == [("a", "100", "C0001", "llm", 0.99), ("a", "7", None, "llm", 0.0), ("b", "100", "C0001", "rule", 0.82)]
+    assert {r["contract_id"]: tuple(r)[1:] for r in summary.collect()} == {"a": (1, 1, 1, 1, 2, 2), "b": (1, 1, 1, 0, 0, 1)}
+
+
+def test_chat_model_and_embedder():
+    import json
+
+    import pytest
+
+    sent = []
+
+    def send(url, payload, headers, timeout):
+        sent.append((url, payload, headers))
+        if "reasoning_effort" in payload:
+            raise transport.ModelError("no such field", 422)
+        return {"choices": [{"message": {"content": [{"text": "```json\n{\"x\""}, ": 1}\n```"]}}]}
+
+    model = transport.ChatModel("http://host/v1/", "m", "key", send=send)
+    assert json.loads(model("p", "clause_risk_review")) == {"x": 1} and len(sent) == 2
+    url, payload, headers = sent[1]
+    assert url == "http://host/v1/chat/completions" and headers == {"Authorization": "Bearer key"}
+    assert (payload["temperature"], payload["seed"], payload["max_tokens"]) == (0.0, 42, 8_000)
+    schema = payload["response_format"]["json_schema"]["schema"]
+    item = schema["properties"]["risks"]["items"]
+    assert item["properties"]["severity"] == {"type": "string", "enum": ["high", "medium", "low"]} and item["additionalProperties"] is False and schema["required"] == ["risks"]
+    assert [transport.chat_url(x) for x in ("http://h", "http://h/v1", " http://h/v1/chat/completions/ ")] == ["http://h/v1/chat/completions"] * 3
+    for bad in ({"choices": []}, {"choices": [{"message": {"content": " "}}]}, {"choices": [{"message": {"content": "[1]"}}]}, {"choices": [{"message": {"content": "x"}}]}):
+        with pytest.raises(transport.ModelError):
+            transport.answer_text(bad)
+
+    def fails(url, payload, headers, timeout):
+        raise transport.ModelError("down", 500)
+
+    with pytest.raises(transport.ModelError):
+        transport.ChatModel("h", "m", send=fails)("p", "clause_risk_review")
+    embedder = transport.HttpEmbedder("http://h/", "m", "k", batch=2, send=lambda url, payload, headers, timeout: {"embeddings": [[1.0]] * len(payload["input"])})
+    assert embedder(["a", "b", "c"]) == [[1.0]] * 3
+    with pytest.raises(transport.ModelError):
+        transport.HttpEmbedder("h", "m", send=lambda *a: {"embeddings": []})(["a"])
