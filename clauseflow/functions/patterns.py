@@ -21,6 +21,9 @@ HEADINGS = (
     (r"(?U)^((?:附件|附录)\s*[一二三四五六七八九十0-9]*)[：:\s、.-]*(.*)$", "appendix", 1),
 )
 
+#: What a line must begin with to match any of these.
+HEADING_BEGINS = rf"(?U)^[第\d{CHINESE_NUMBER}（(附]"
+
 PARTY_ROLES = "出卖人|买受人|甲方|乙方|丙方|丁方|委托方|受托方|寄存人|保管人|出租人|承租人|中介人|委托人|数据提供方|数据接收方|供方|需方"
 #: Groups: role, role in brackets, role alone, name.
 PARTY = rf"(?U)(?:({PARTY_ROLES})[（(]([^）)]{{1,12}})[）)]|({PARTY_ROLES}))[：:]\s*((?:(?!{PARTY_ROLES}[（(])[^\s；;，,。\n（(]){{2,30}})"

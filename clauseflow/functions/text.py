@@ -33,27 +33,28 @@ def digits(text: Column) -> Column:
     return F.translate(text, FULL_WIDTH, "0123456789")
 
 
-def matches(text: Column, pattern: str, groups: int) -> Column:
+def matches(text: Column, pattern: str, groups: int, needs: str = "") -> Column:
     """array<struct<start, stop, g0, g1, ...>> of all matches, places in code points; groups without a part are ''.
 
-    A match must not be empty. What stands between matches comes from a split on the same pattern, so the places are
-    running sums.
+    A match must not be empty, and what it captures must not depend on what stands around it: groups are taken out of
+    the match itself, so that the text is searched once. What stands between matches comes from a split on the same
+    pattern, so the places are running sums. needs: a literal that every match has; texts without it aren't searched.
     """
-    whole = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(groups + 1)]
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    rows = F.arrays_zip(gaps.alias("gap"), *[w.alias(f"g{i}") for i, w in enumerate(whole)])
+    rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("g0"))
     names = [f"g{i}" for i in range(groups + 1)]
     kind = "array<struct<start:int,stop:int," + ",".join(f"{n}:string" for n in names) + ">>"
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         stop = start + F.length(x["g0"])
-        row = F.struct(start.alias("start"), stop.alias("stop"), *[x[n].alias(n) for n in names])
+        row = F.struct(start.alias("start"), stop.alias("stop"), x["g0"].alias("g0"), *[F.regexp_extract(x["g0"], pattern, i).alias(f"g{i}") for i in range(1, groups + 1)])
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     found = F.filter(rows, lambda x: x["g0"].isNotNull())
     out = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(F.array().cast(kind))
+    hit = F.regexp_like(text, F.lit(pattern))
+    return F.when(F.contains(text, F.lit(needs)) & hit if needs else hit, out).otherwise(F.array().cast(kind))
 
 
 def window_before(text: Column, start: Column, width: int) -> Column:

@@ -51,7 +51,7 @@ def check_amounts(elements: DataFrame) -> DataFrame:
 
 def labelled_dates(clauses: DataFrame) -> DataFrame:
     """Every date with its side: of a summary sheet, or of a clause, by the 20 signs before it; others go."""
-    rows = clauses.select("contract_id", "clause_seq", "clause_id", "text", F.explode(matches(F.coalesce("text", F.lit("")), P.DATE, 3)).alias("m"))
+    rows = clauses.select("contract_id", "clause_seq", "clause_id", "text", F.explode(matches(F.coalesce("text", F.lit("")), P.DATE, 3, "年")).alias("m"))
     near = window_before(F.col("text"), F.col("m.start"), 20)
     side = F.when(F.regexp_like(near, F.lit("|".join(P.SUMMARY_DATE_CUES))), "summary").when(F.regexp_like(near, F.lit("|".join(P.CLAUSE_DATE_CUES))), "clause")
     key = date_key(F.col("m.g1"), F.col("m.g2"), F.col("m.g3"))
@@ -74,8 +74,8 @@ def reversed_terms(clauses: DataFrame) -> DataFrame:
     """Terms whose start lies after their end, once for each pair of dates of a contract: the first."""
     text = F.coalesce("text", F.lit(""))
     both = F.concat(
-        F.transform(matches(text, P.TERM_RANGE, 2), lambda m: F.struct(F.lit(0).alias("p"), m["start"].alias("at"), m["g0"].alias("g0"), m["g1"].alias("a"), m["g2"].alias("b"))),
-        F.transform(matches(text, P.TERM_SPAN, 2), lambda m: F.struct(F.lit(1).alias("p"), m["start"].alias("at"), m["g0"].alias("g0"), m["g1"].alias("a"), m["g2"].alias("b"))),
+        F.transform(matches(text, P.TERM_RANGE, 2, "止"), lambda m: F.struct(F.lit(0).alias("p"), m["start"].alias("at"), m["g0"].alias("g0"), m["g1"].alias("a"), m["g2"].alias("b"))),
+        F.transform(matches(text, P.TERM_SPAN, 2, "期限"), lambda m: F.struct(F.lit(1).alias("p"), m["start"].alias("at"), m["g0"].alias("g0"), m["g1"].alias("a"), m["g2"].alias("b"))),
     )
     rows = clauses.select("contract_id", "clause_seq", "clause_id", F.explode(both).alias("m"))
     rows = rows.withColumn("begin", date_key_of(F.col("m.a"))).withColumn("end", date_key_of(F.col("m.b"))).filter("begin > end")
@@ -106,7 +106,7 @@ def check_references(clauses: DataFrame) -> DataFrame:
     own = F.regexp_extract("label", P.ATTACHMENT.replace("(?U)", "(?U)^"), 1)
     rows = clauses.withColumn("_own", own)
     defined = rows.filter("_own <> ''").select("contract_id", chinese_number(F.col("_own")).alias("number")).filter("number is not null").distinct()
-    refs = rows.filter("_own = ''").select("contract_id", "clause_seq", "clause_id", "text", F.explode(matches(F.coalesce("text", F.lit("")), P.ATTACHMENT, 1)).alias("m"))
+    refs = rows.filter("_own = ''").select("contract_id", "clause_seq", "clause_id", "text", F.explode(matches(F.coalesce("text", F.lit("")), P.ATTACHMENT, 1, "附件")).alias("m"))
     refs = refs.withColumn("number", chinese_number(F.col("m.g1"))).filter("number is not null")
     once = W.partitionBy("contract_id", "clause_seq", "number").orderBy("m.start")
     refs = refs.withColumn("_n", F.row_number().over(once)).filter("_n = 1").join(defined, ["contract_id", "number"], "left_anti")

@@ -38,7 +38,7 @@ def amount_items(text: Column) -> Column:
         marked = ~m["g1"].isin("", "-") | m["g0"].contains("小写")
         return _item(m["start"], "amount", m["g2"], money_number(m["g2"]), F.coalesce(F.nullif(role, F.lit("")), F.lit("金额")), F.when(marked, 0.9).otherwise(0.82))
 
-    return F.transform(matches(text, P.MONEY, 2), of).cast(_ITEM)
+    return F.transform(matches(text, P.MONEY, 2, "元"), of).cast(_ITEM)
 
 
 def date_items(text: Column) -> Column:
@@ -46,7 +46,7 @@ def date_items(text: Column) -> Column:
         role = nearest_role(text, m["start"], P.DATE_ROLES)
         return _item(m["start"], "date", m["g0"], date_key(m["g1"], m["g2"], m["g3"]), F.coalesce(F.nullif(role, F.lit("")), F.lit("日期")), F.lit(0.9))
 
-    return F.transform(matches(text, P.DATE, 3), of).cast(_ITEM)
+    return F.transform(matches(text, P.DATE, 3, "年"), of).cast(_ITEM)
 
 
 def subject_items(text: Column) -> Column:

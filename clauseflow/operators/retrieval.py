@@ -112,6 +112,56 @@ def merge_tags(old: DataFrame, new: DataFrame, key: str, columns: tuple[str, ...
     return out.drop(*[f"_{c}" for c in columns])
 
 
+def merge_articles(articles: DataFrame, curated: DataFrame, columns: tuple[str, ...] = ("risk_tags", "contract_types"), prefix: str = "第") -> DataFrame:
+    """articles with the tags of their curated namesakes (article_uid) behind their own, and article numbers with their prefix.
+
+    Own tags stay as they are, repeats and all. prefix_fixed and merged_<column> say what changed in a row; change_counts()
+    adds them up.
+    """
+    held = curated.select("article_uid", *[F.col(c).alias(f"_{c}") for c in columns])
+    out = articles.join(held, "article_uid", "left")
+    bare = (F.coalesce("article_no", F.lit("")) != "") & ~F.col("article_no").startswith(prefix)
+    out = out.withColumn("prefix_fixed", bare).withColumn("article_no", F.when(bare, F.concat(F.lit(prefix), "article_no")).otherwise(F.col("article_no")))
+    none = F.array().cast("array<string>")
+    for c in columns:
+        own, more = F.coalesce(F.col(c), none), F.coalesce(F.col(f"_{c}"), none)
+        out = out.withColumn(f"merged_{c}", F.size(_lacking(more, own)) > 0).withColumn(c, F.concat(own, _lacking(more, own)))
+    return out.drop(*[f"_{c}" for c in columns])
+
+
+def change_counts(merged: DataFrame) -> DataFrame:
+    """One row: how many articles, and of how many each thing changed."""
+    flags = [c for c in merged.columns if c == "prefix_fixed" or c.startswith("merged_")]
+    return merged.agg(F.count("*").alias("articles"), *[F.count_if(c).alias(c) for c in flags])
+
+
+def retrieved(hits: DataFrame, articles: DataFrame) -> DataFrame:
+    """hits (query_id, id, rank, score) with their article, fields that it lacks empty; hits of unknown articles stay."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in articles.columns else F.lit("").alias(c) for c in ("law_name", "article_no", "content", "authority_level")]
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(F.col(c), none).alias(c) if c in articles.columns else none.alias(c) for c in ("risk_tags", "contract_types")]
+    rows = hits.join(articles.withColumnRenamed("article_uid", "id"), "id", "left")
+    return rows.select("query_id", "rank", F.col("id").alias("article_uid"), F.coalesce("score", F.lit(0.0)).alias("score"), *texts, *lists)
+
+
+def gold(records: DataFrame, specs: DataFrame, articles: DataFrame) -> DataFrame:
+    """What each record's issues should find: query_id, id, code, tier, text.
+
+    records: record_id, issue_codes. specs: code, strong, weak (tags), text (what is searched for). An article counts if it
+    has one of the strong tags; of issues without any, one of the weak. Issues without tags, a spec or an article are out.
+    """
+    wanted = specs.withColumn("tier", F.when(F.size("strong") > 0, "strong").otherwise("weak")).withColumn("wanted", F.when(F.size("strong") > 0, F.col("strong")).otherwise(F.col("weak")))
+    rows = records.select("record_id", F.explode(F.array_distinct("issue_codes")).alias("code")).join(wanted, "code").select("record_id", "code", "tier", "text", F.explode(F.array_distinct("wanted")).alias("tag"))
+    tags = articles.select(F.col("article_uid").alias("id"), F.explode(F.array_distinct("risk_tags")).alias("tag"))
+    return rows.join(tags, "tag").select(F.concat_ws("|", "record_id", "code").alias("query_id"), "id", "code", "tier", "text").distinct()
+
+
+def evaluate_tiers(results: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """evaluate() for each tier and code, and for each tier (code null): strong gold and weak are never mixed."""
+    rows = evaluate(results, wanted.select("query_id", "id", "tier", "code"), k, ["tier", "code"])
+    return rows.filter("tier is not null")
+
+
 def _lacking(own: Column, other: Column) -> Column:
     return F.filter(own, lambda x: ~F.array_contains(other, x))
 

@@ -21,7 +21,7 @@ def amount_signals(elements: DataFrame) -> DataFrame:
 
 def date_signals(clauses: DataFrame) -> DataFrame:
     """Terms whose real start date is after the real end; a date that no calendar has gives no signal."""
-    rows = clauses.select("contract_id", "clause_id", F.explode(matches(F.coalesce("text", F.lit("")), P.TERM_RANGE, 2)).alias("m"))
+    rows = clauses.select("contract_id", "clause_id", F.explode(matches(F.coalesce("text", F.lit("")), P.TERM_RANGE, 2, "止")).alias("m"))
     day = lambda c: F.try_to_date(date_key_of(digits(F.col(c))), "yyyy-MM-dd")
     rows = rows.withColumn("a", day("m.g1")).withColumn("b", day("m.g2")).filter("a > b")
     note = F.concat(F.lit("期限倒置：起始 "), F.col("a").cast("string"), F.lit(" 晚于结束 "), F.col("b").cast("string"))

@@ -60,7 +60,8 @@ def line_heading(text: Column) -> Column:
             found = _of_parts(parts, label, depth, line, kind)
             test = F.regexp_like(line, F.lit(pattern))
             out = F.when(test, found) if out is None else out.when(test, found)
-        return F.when((F.length(line) <= 180) & (line != ""), out)
+        begins = F.regexp_like(line, F.lit(P.HEADING_BEGINS))  # one test for all the lines that are no heading
+        return F.when((F.length(line) <= 180) & begins, out)
 
     return let(strip(F.element_at(F.split(text, r"\R", 2), 1)), of)
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import QUERY_TEXTS
-
 _ITEMS = """it AS (
   SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey AS p, l_suppkey AS s, CAST(l_shipdate AS DATE) AS d, l_returnflag AS f,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_returnflag) AS r
   FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
 per AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderkey % 3 + 1 AS m FROM orders),
 n AS (SELECT per.k, per.c, per.cents, per.m, count(it.r) AS n FROM per LEFT JOIN it ON it.k = per.k GROUP BY ALL),
@@ -33,34 +31,19 @@ tok AS (SELECT id, list_concat(t, list_filter(list_transform(generate_series(1,
 _DOC_TOKENS = _TOKENS.format(id="doc_id", text="text", table="documents")
 
 
-def _bm25(table: str, queries: str, limit: int, repeats: bool = False) -> str:
+def _bm25(limit: int, repeats: bool = False, among: str = "TRUE") -> str:
+    """BM25 of all documents for the texts of those whose id is a multiple of 50; only hits of `among` are ranked."""
     times = "count(*)" if repeats else "1"
-    return f"""{_TOKENS.format(id="doc_id", text="text", table=table)},
+    return f"""{_DOC_TOKENS},
 post AS (SELECT id, token, count(*) AS tf, any_value(ln) AS ln FROM (SELECT id, len(t) AS ln, unnest(t) AS token FROM tok) GROUP BY id, token),
 av AS (SELECT count(*) AS n, avg(len(t)) AS m FROM tok),
 dfs AS (SELECT token, count(*) AS df FROM post GROUP BY token),
-qs AS (SELECT query_id, token, {times} AS times FROM (SELECT query_id, unnest(string_split(qt, ' ')) AS token FROM (VALUES {queries}) v(query_id, qt)) GROUP BY query_id, token),
+qs AS (SELECT query_id, token, {times} AS times FROM (SELECT id AS query_id, unnest(t) AS token FROM tok WHERE id % 50 = 0) GROUP BY query_id, token),
 sc AS (SELECT query_id, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * post.ln / m))) AS s
-       FROM post JOIN qs USING (token) JOIN dfs USING (token), av GROUP BY query_id, id),
+       FROM post JOIN qs USING (token) JOIN dfs USING (token), av WHERE id IN (SELECT doc_id FROM documents WHERE {among}) GROUP BY query_id, id),
 sparse AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS rank FROM sc QUALIFY rank <= {limit})"""
 
 
-def _texts(pairs) -> str:
-    return ", ".join(f"('{q}', '{t}')" for q, t in pairs)
-
-
-def _split_query_texts() -> str:
-    # "ción" is tokenised into its ASCII runs.
-    return _texts((q, " ".join(_ascii_runs(t))) for q, t in QUERY_TEXTS)
-
-
-def _ascii_runs(text: str) -> list[str]:
-    import re
-
-    units = re.findall("[0-9a-z]+", text.lower())
-    return units + [a + b for a, b in zip(units, units[1:], strict=False) if len(a) == len(b) == 1]
-
-
 _COSINE = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 _CAND = """cand AS (SELECT k, 'KC' || lpad(CAST(r AS VARCHAR), 4, '0') AS id, r, CASE f WHEN 'R' THEN 'date_conflict' WHEN 'A' THEN 'zero_rent' ELSE 'unfair_term' END AS code,
   CASE p % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 'C' || lpad(CAST(ln AS VARCHAR), 4, '0') AS clause, p, s, 0.5 + (s % 4) / 10.0 AS sure FROM it)"""
@@ -111,6 +94,9 @@ SELECT k AS contract_id, code, severity, refixable, CAST(sum(n) AS BIGINT) AS n
   UNION ALL SELECT k, '甲方（签章）', '卖家' || (c % 97 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) || '公司' FROM per UNION ALL SELECT k, '乙方（签章）', '客户' || c || '公司' FROM per)""",
     "element_counts": f"""WITH {_ITEMS} SELECT k AS contract_id, 'amount' AS kind, CAST(3 AS BIGINT) AS n FROM per UNION ALL SELECT k, 'party', CAST(4 AS BIGINT) FROM per UNION ALL SELECT k, 'date', 2 * count(*) FROM it GROUP BY k""",
     "merge_amounts": f"WITH {_ITEMS}, {_MONEY} SELECT k AS contract_id, normalized, arg_min(role, o) AS role FROM amt GROUP BY k, normalized",
+    "merge_elements": f"""WITH {_ITEMS}, {_MONEY} SELECT k AS contract_id, 'amount' AS kind, count(DISTINCT normalized) AS n FROM amt GROUP BY k
+UNION ALL SELECT k, 'party', CAST(CASE WHEN k % 5 = 0 THEN 3 ELSE 2 END AS BIGINT) FROM per
+UNION ALL SELECT k, 'date', count(DISTINCT day) FROM (SELECT k, d AS day FROM it UNION ALL SELECT k, d + 30 FROM it) GROUP BY k""",
     "amount_conflicts": "SELECT o_orderkey AS contract_id, 'amount_conflict' AS code, 'high' AS severity, CAST(0.95 AS DOUBLE) AS confidence FROM orders WHERE o_orderkey % 7 = 0",
     "date_reversals": f"WITH {_ITEMS} SELECT k AS contract_id, a AS \"begin\", b AS \"end\" FROM ({_REVERSED})",
     "party_conflicts": f"""WITH {_ITEMS} SELECT k AS contract_id, '同一角色「甲方」对应多个不同主体：' || least(a, b) || '、' || greatest(a, b) || '。' AS message, 'high' AS severity
@@ -120,16 +106,16 @@ FROM (SELECT k, '卖家' || (c % 97) || '公司' AS a, '卖家' || (c % 97 + 1)
 UNION ALL SELECT 'date_conflict', count(*) FROM ({_REVERSED}) UNION ALL SELECT 'reference_conflict', count(*) FROM (SELECT DISTINCT it.k, s % 4 FROM it JOIN per ON per.k = it.k WHERE s % 4 + 1 > m)""",
     "element_signals": f"""WITH {_ITEMS} SELECT k AS contract_id, 'date' AS kind, count(*) AS n FROM it WHERE p % 11 = 0 GROUP BY k
 UNION ALL SELECT k, 'completeness', CAST(1 + (n = 0)::INT AS BIGINT) FROM n UNION ALL SELECT k, 'amount', count(*) FROM (SELECT k, unnest({_PAID.replace('(cents', '[cents', 1)[:-1]}]) AS v FROM per) WHERE v >= 1000000000 OR v <= 0 GROUP BY k""",
-    "bm25_topk": f"WITH {_bm25('documents', _split_query_texts(), 50)} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM sparse",
-    "bm25_repeated_terms": "WITH " + _bm25("documents", _texts((("r1", "the the and"), ("r2", "de de la"))), 50, True) + " SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM sparse",
-    "filtered_topk": f"WITH part AS (SELECT * FROM documents WHERE lang IN ('de', 'fr')), {_bm25('part', _split_query_texts(), 20)} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM sparse",
+    "bm25_topk": f"WITH {_bm25(50)} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM sparse",
+    "bm25_repeated_terms": f"WITH {_bm25(50, True)} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS score FROM sparse",
+    "filtered_topk": "WITH " + _bm25(20, among="lang IN ('de', 'fr')") + " SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM sparse",
     "dense_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COSINE} AS c FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, id) AS rank FROM s QUALIFY rank <= 10)
-SELECT query_id, count(*) AS n, round(sum(round(c, 4)), 2) AS total FROM t GROUP BY query_id""",
-    "hybrid_rrf": f"""WITH {_bm25('documents', _split_query_texts(), 50)},
-ds AS (SELECT v.q AS query_id, e.vec_id AS id, {_COSINE} AS c FROM embeddings e, embeddings q JOIN (VALUES ('q1', 0), ('q2', 1), ('q3', 2), ('q4', 3)) v(q, i) ON v.i = q.vec_id),
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(c, 4) AS score FROM t""",
+    "hybrid_rrf": f"""WITH {_bm25(50)},
+ds AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COSINE} AS c FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, id) AS rank FROM ds QUALIFY rank <= 50),
-f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS s FROM (SELECT query_id, id, rank FROM sparse UNION ALL SELECT * FROM dense) GROUP BY ALL),
+f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS s FROM (SELECT query_id, id, rank FROM sparse UNION ALL SELECT query_id, id, rank FROM dense) GROUP BY ALL),
 o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS rank, s FROM f QUALIFY rank <= 8)
 SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(CAST(s AS DOUBLE), 6) AS score FROM o""",
     "retrieval_recall_mrr": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COSINE} AS c FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
@@ -144,8 +130,10 @@ SELECT k AS contract_id, code, clause AS clause_id, fid AS candidate_id, severit
     "fuse_risks": f"WITH {_ITEMS}, {_JUDGED} SELECT k AS contract_id, code, clause AS clause_id, severity, round(CAST(confidence AS DOUBLE), 2) AS confidence, cross_validated, review_required FROM fused",
     "review_queue": f"""WITH {_ITEMS}, {_JUDGED} SELECT k AS contract_id, code, count(*) AS n FROM fused WHERE review_required GROUP BY ALL
 UNION ALL SELECT k, 'element_signal:date', count(*) FROM sig WHERE NOT EXISTS (SELECT 1 FROM fused WHERE fused.k = sig.k AND fused.clause = sig.clause) GROUP BY k""",
-    "report_rollup": f"""WITH {_ITEMS}, {_JUDGED} SELECT 'code' AS dimension, code AS value, count(*) AS n, CAST(0 AS BIGINT) AS cross_validated FROM risk GROUP BY code
-UNION ALL SELECT 'category', category, count(*), 0 FROM risk GROUP BY category UNION ALL SELECT 'severity', severity, count(*), 0 FROM risk GROUP BY severity""",
+    "report_rollup": f"""WITH {_ITEMS}, {_JUDGED}, y AS (SELECT code, severity, arg_min(category, r) AS category, cross_validated FROM (
+  SELECT fused.code, fused.severity, risk.category, risk.r, fused.cross_validated, fused.k, fused.clause FROM fused JOIN risk ON risk.k = fused.k AND risk.code = fused.code AND risk.clause = fused.clause) GROUP BY k, clause, code, severity, cross_validated)
+SELECT 'code' AS dimension, code AS value, count(*) AS n, CAST(count_if(cross_validated) AS BIGINT) AS cross_validated FROM y GROUP BY code
+UNION ALL SELECT 'category', category, count(*), CAST(count_if(cross_validated) AS BIGINT) FROM y GROUP BY category UNION ALL SELECT 'severity', severity, count(*), CAST(count_if(cross_validated) AS BIGINT) FROM y GROUP BY severity""",
     "clause_search": "SELECT doc_id AS contract_id, coalesce(source, '') AS title FROM documents WHERE contains(lower(coalesce(source, '')), 'ther') OR contains(lower(coalesce(text, '')), 'ther')",
     "risk_excerpts": f"""WITH {_ITEMS}, {_JUDGED} SELECT risk.k AS contract_id, count(*) AS n_rows, count(c.q) AS n_found
 FROM risk LEFT JOIN cl c ON c.k = risk.k AND 'C' || lpad(CAST(c.q AS VARCHAR), 4, '0') = risk.clause GROUP BY risk.k""",

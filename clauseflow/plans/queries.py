@@ -146,16 +146,13 @@ def element_signals(spark, sf_dir):
     return signals.signals(tree, elements.extract(tree)).groupBy("contract_id", "kind").agg(F.count("*").alias("n"))
 
 
-QUERY_TEXTS = (("q1", "the and tion"), ("q2", "le la de les"), ("q3", "der die und ung"), ("q4", "el la que ción"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of text searches: the whole texts of documents whose id is a multiple of 50."""
+    return table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
-def _queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(QUERY_TEXTS), "query_id string, text string")
-
-
-def _postings(spark, sf_dir, docs: DataFrame | None = None) -> DataFrame:
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
-    return retrieval.postings(docs.select(F.col("doc_id").alias("id"), "text"))
+def _postings(spark, sf_dir) -> DataFrame:
+    return retrieval.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _shown(rows: DataFrame, places: int = 6) -> DataFrame:
@@ -163,17 +160,17 @@ def _shown(rows: DataFrame, places: int = 6) -> DataFrame:
 
 
 def bm25_topk(spark, sf_dir):
-    return _shown(retrieval.sparse_topk(_postings(spark, sf_dir), _queries(spark)))
+    return _shown(retrieval.sparse_topk(_postings(spark, sf_dir), _queries(spark, sf_dir)))
 
 
 def bm25_repeated_terms(spark, sf_dir):
-    twice = spark.createDataFrame([("r1", "the the and"), ("r2", "de de la")], "query_id string, text string")
-    return _shown(retrieval.sparse_topk(_postings(spark, sf_dir), twice, repeats=True))
+    return _shown(retrieval.sparse_topk(_postings(spark, sf_dir), _queries(spark, sf_dir), repeats=True), 4)
 
 
 def filtered_topk(spark, sf_dir):
+    """Weights of the whole corpus, hits of some languages only."""
     docs = retrieval.allowed(table(spark, sf_dir, "documents").withColumn("contract_types", F.array("lang")), ["de", "fr"])
-    return _shown(retrieval.sparse_topk(_postings(spark, sf_dir, docs), _queries(spark), 20))
+    return _shown(retrieval.sparse_topk(_postings(spark, sf_dir), _queries(spark, sf_dir), 20, among=docs.select(F.col("doc_id").alias("id"))))
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -181,19 +178,18 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 
 def _vector_queries(spark, sf_dir) -> DataFrame:
-    """The stated query set of searches: rows whose id is a multiple of 50."""
+    """The stated query set of vector searches: rows whose id is a multiple of 50."""
     return _vectors(spark, sf_dir).filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding", "label")
 
 
 def dense_topk(spark, sf_dir):
-    return _shown(retrieval.dense_topk(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10), 4).drop("id", "rank").groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"))
+    return _shown(retrieval.dense_topk(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10), 4)
 
 
 def hybrid_rrf(spark, sf_dir):
-    named = spark.createDataFrame([(q, i) for i, (q, _) in enumerate(QUERY_TEXTS)], "query_id string, id long")
-    vectors = _vectors(spark, sf_dir)
-    asked = vectors.join(F.broadcast(named), "id").select("query_id", "embedding")
-    return _shown(retrieval.hybrid(_postings(spark, sf_dir), vectors.select("id", "embedding"), _queries(spark), asked))
+    """Both legs ask by the same id: the text of a document and the vector of that number."""
+    vectors, asked = _vectors(spark, sf_dir).select("id", "embedding"), _vector_queries(spark, sf_dir).select("query_id", "embedding")
+    return _shown(retrieval.hybrid(_postings(spark, sf_dir), vectors, _queries(spark, sf_dir), asked))
 
 
 def retrieval_recall_mrr(spark, sf_dir):
@@ -213,7 +209,7 @@ def tag_union(spark, sf_dir):
 
 def _candidates(spark, sf_dir) -> DataFrame:
     """A candidate for each line item: code by return flag, clause by line number, severity and confidence by part."""
-    rows = synth.items(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    rows = synth.items(spark, sf_dir)
     code = F.when(F.col("l_returnflag") == "R", "date_conflict").when(F.col("l_returnflag") == "A", "zero_rent").otherwise("unfair_term")
     severity = F.when(F.col("l_partkey") % 3 == 0, "high").when(F.col("l_partkey") % 3 == 1, "medium").otherwise("low")
     return rows.select(
@@ -259,7 +255,7 @@ def review_queue(spark, sf_dir):
 
 
 def report_rollup(spark, sf_dir):
-    return review.report_counts(_judged(spark, sf_dir))
+    return review.report_counts(review.fuse(_judged(spark, sf_dir), _clause_signals(spark, sf_dir)))
 
 
 def clause_search(spark, sf_dir):
