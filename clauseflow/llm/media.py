@@ -281,10 +281,11 @@ def read_media(store: DataFrame) -> DataFrame:
 
 
 def pages_with_figures(store: DataFrame, pages: DataFrame) -> DataFrame:
-    """Sequences of pages (page_id, url, html) into which the documents of a store are laid: page_id, url, sequence, and
-    figures, an array of the documents' doc_id, n_bytes and digest in the order of their references, which come last.
+    """The documents of a store laid into pages (page_id, url, html), as rows of page_id, url, sequence and figures.
 
-    Documents go to pages in turn. Pages that get none are left out; without any page each document has a sequence of
+    sequence is the part of the page's sequence that its documents add: its positions go on where those of the page's own
+    items end, which stay where they were written. figures has the documents' doc_id, n_bytes and digest in the order of
+    these references. Documents go to pages in turn. Pages that get none are left out; without any page each document has a sequence of
     its own. Null or damaged HTML gives no items, and the figures all the same.
     """
     parsed = saved(interleaved(pages.select("page_id", "url", "html")).drop("html").withColumn("at", F.monotonically_increasing_id()), "pages")
@@ -296,7 +297,7 @@ def pages_with_figures(store: DataFrame, pages: DataFrame) -> DataFrame:
         n += c
     offsets = store.sparkSession.createDataFrame(begins or [(0, 0)], "part long, begin long")
     numbered = parsed.withColumn("part", part).join(F.broadcast(offsets), "part")
-    numbered = numbered.select((F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("page"), "page_id", "url", F.col("sequence").alias("own"))
+    numbered = numbered.select((F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("page"), "page_id", "url", F.size("sequence").alias("own"))
 
     figure = F.format_string('<figure><img src="sha256:%s"><figcaption>%s</figcaption></figure>', F.col("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = store.select("doc_id", "n_bytes", "digest", figure.alias("html"), F.monotonically_increasing_id().alias("row"))
@@ -307,9 +308,8 @@ def pages_with_figures(store: DataFrame, pages: DataFrame) -> DataFrame:
     shares = shares.groupBy("page", "block").agg(F.array_sort(F.collect_list(F.struct("row", "doc_id", "n_bytes", "digest", "html"))).alias("all"))
     shares = shares.withColumn("html", F.array_join(F.transform("all", lambda x: x["html"]), "")).withColumn("figures", F.transform("all", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["n_bytes"].alias("n_bytes"), x["digest"].alias("digest"))))
     laid = interleaved(shares.select("page", "figures", "html"), name="added").drop("html").join(numbered, "page", "left")
-    own = F.coalesce("own", F.array().cast(SEQUENCE))
-    moved = F.transform("added", lambda x: x.withField("position", x["position"] + F.size(own)))
-    return laid.select("page_id", "url", F.concat(own, moved).alias("sequence"), "figures")
+    moved = F.transform("added", lambda x: x.withField("position", x["position"] + F.coalesce("own", F.lit(0))))
+    return laid.select("page_id", "url", moved.alias("sequence"), "figures")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +325,5 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     except AnalysisException:
         pages = spark.createDataFrame([], "page_id long, url string, html string")
     whole = resolved(pages_with_figures(store, pages), read_media(store), "page_id")
-    # A document's reference is as far from the sequence's end as its figure from the last one.
-    items = whole.select("page_id", F.posexplode("figures").alias("k", "doc"), F.slice("sequence", F.size("sequence") - F.size("figures") + 1, F.size("figures")).alias("refs"))
-    items = items.select("page_id", "doc", F.get("refs", F.col("k")).alias("x"))
+    items = whole.select("page_id", F.posexplode("figures").alias("k", "doc"), "sequence").select("page_id", "doc", F.get("sequence", F.col("k")).alias("x"))
     return items.select("doc.doc_id", "doc.n_bytes", "x.payload.*", "x.position", F.coalesce("x.item.caption", F.lit("")).alias("caption"), "page_id")
