@@ -66,6 +66,11 @@ def line_heading(text: Column) -> Column:
     return let(strip(F.element_at(F.split(text, r"\R", 2), 1)), of)
 
 
+def is_heading(line: Column) -> Column:
+    """Whether line_heading() of a line without blanks at its ends is there: one test, without a lambda of its own."""
+    return (F.length(line) <= 180) & F.regexp_like(line, F.lit("|".join(f"(?:{pattern})" for pattern, _, _ in P.HEADINGS)))
+
+
 def _of_parts(parts: Column, label: Column, depth: Column, line: Column, kind: str) -> Column:
     return let(parts, lambda p: _heading(label, depth, p, F.when(p["body"] != "", label).otherwise(line), kind, 0.98, 0.86))
 
@@ -110,21 +115,20 @@ def prepare_blocks(blocks: DataFrame) -> DataFrame:
     block_id names the new block, source_block, line_start and line_end where it came from.
     """
     blocks = with_optional(blocks)
-    lines = F.filter(F.transform(F.split("text", r"\R", -1), strip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", r"\R", -1), lambda x: strip(x)), lambda x: x != "")
     blocks = blocks.withColumn("_lines", lines).withColumn("_id", F.coalesce("source_block", F.format_string("B%04d", F.col("seq"))))
-    apart = (F.col("kind") != "table") & (F.size("_lines") > 1) & F.exists("_lines", lambda x: line_heading(x).isNotNull())
-    rows = F.when(apart, F.transform("_lines", lambda x, i: F.struct(x.alias("text"), (i + 1).cast("int").alias("line")))).otherwise(
-        F.array(F.struct(F.col("text").alias("text"), F.lit(None).cast("int").alias("line")))
-    )
-    out = blocks.withColumn("_row", F.explode(rows)).withColumns({
-        "text": F.col("_row.text"),
-        "block_id": F.when(F.col("_row.line").isNull(), F.col("_id")).otherwise(F.format_string("%s-L%03d", F.col("_id"), F.col("_row.line"))),
+    apart = (F.col("kind") != "table") & (F.size("_lines") > 1) & F.exists("_lines", is_heading)
+    blocks = blocks.withColumn("_apart", F.coalesce(apart, F.lit(False)))
+    out = blocks.select(*[c for c in blocks.columns if c != "text"], F.posexplode(F.when(F.col("_apart"), F.col("_lines")).otherwise(F.array("text"))).alias("_i", "text"))
+    line = F.when(F.col("_apart"), F.col("_i") + 1)
+    out = out.withColumns({
+        "block_id": F.when(line.isNull(), F.col("_id")).otherwise(F.format_string("%s-L%03d", F.col("_id"), line)),
         "source_block": F.col("_id"),
-        "line_start": F.coalesce("_row.line", F.when(F.size("_lines") > 0, 1)),
-        "line_end": F.coalesce("_row.line", F.when(F.size("_lines") > 0, F.size("_lines"))),
+        "line_start": F.coalesce(line, F.when(F.size("_lines") > 0, 1)),
+        "line_end": F.coalesce(line, F.when(F.size("_lines") > 0, F.size("_lines"))),
     })
     order = W.partitionBy("contract_id").orderBy("seq", "line_start")
-    return out.withColumn("seq", F.row_number().over(order)).drop("_row", "_lines", "_id")
+    return out.withColumn("seq", F.row_number().over(order)).drop("_i", "_apart", "_lines", "_id")
 
 
 def with_headings(blocks: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ import math
 import duckdb
 import pytest
 
-from clauseflow.plans.oracles import ORACLES
-from clauseflow.plans.queries import QUERIES
+from clauseflow.plans import channel_queries, oracles, queries
+
+QUERIES = queries.QUERIES | channel_queries.QUERIES
+ORACLES = oracles.ORACLES | channel_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
