@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ SEPARATOR_ID = 0
 #: Places that the search visits at most, one for each piece length it tries in a filling.
 STEPS = 400_000
 #: An order is followed in at most RANGES ranges of at least RANGE_SEQUENCES sequences each.
-RANGES = 64
+RANGES = 16
 RANGE_SEQUENCES = 64
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), lengths descending
@@ -243,21 +244,20 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, steps: int
     return search(counts, capacity, steps).patterns
 
 
-def places(patterns: list[tuple[Pattern, int]], sequence: int = 0) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
-    """For each length, its runs of ranks: first rank, pieces of the length in a sequence, first sequence, first offset.
-
-    Sequences are numbered from `sequence`; the number after the last is returned, too.
-    """
-    runs: dict[int, list[tuple[int, int, int, int]]] = {}
+def places(patterns: list[tuple[Pattern, int]], sequence: int = 0) -> tuple[np.ndarray, int]:
+    """The runs of ranks, a row each: length, first rank, pieces of the length in a sequence, first sequence, first offset;
+    by length and rank. Sequences are numbered from `sequence`; the number after the last is returned, too."""
+    runs = array("q")
     taken: Counter = Counter()
     for pattern, times in patterns:
         offset = 0
         for length, each in pattern:
-            runs.setdefault(length, []).append((taken[length], each, sequence, offset))
+            runs.extend((length, taken[length], each, sequence, offset))
             taken[length] += each * times
             offset += each * length
         sequence += times
-    return {n: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for n, r in runs.items()}, sequence
+    table = np.frombuffer(runs, np.int64).reshape(-1, 5)
+    return table[np.lexsort((table[:, 1], table[:, 0]))], sequence
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, separator: int = SEPARATOR_ID) -> DataFrame:
@@ -304,30 +304,36 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, steps: int = STEPS, order:
     else:
         pieces = pieces.withColumn("range", F.lit(0))
     counts: dict[int, dict[int, int]] = {}
-    for r in pieces.groupBy("range", "length").count().collect():  # at most RANGES times `capacity` rows
-        counts.setdefault(r["range"], {})[r["length"]] = r["count"]
+    found = pieces.groupBy("range", "length").count().toArrow()  # at most RANGES times `capacity` rows
+    for range_, length, n in zip(*(found[c].to_pylist() for c in ("range", "length", "count")), strict=True):
+        counts.setdefault(range_, {})[length] = n
     ordered = dense_order(pieces, ["range", "length", *ties])
-    found, sequence, at = {}, 0, 0
+    tables, keys, begins, sequence, at = [], [], [], 0, 0
     for range_ in sorted(counts):
         runs, sequence = places(search(counts[range_], capacity, max(1, steps // len(counts))).patterns, sequence)
-        for length in sorted(runs):
-            found[range_, length] = (at, *runs[length])
+        tables.append(np.column_stack([range_ * (capacity + 1) + runs[:, 0], runs[:, 1:]]))
+        for length in sorted(counts[range_]):
+            keys.append(range_ * (capacity + 1) + length)
+            begins.append(at)
             at += counts[range_][length]
-    sent = pieces.sparkSession.sparkContext.broadcast(found)  # as large as the patterns: bounded by ranges and capacity, not by rows
+    # As large as the patterns: bounded by ranges and capacity, not by rows.
+    sent = pieces.sparkSession.sparkContext.broadcast((np.array(keys, np.int64), np.array(begins, np.int64), np.concatenate(tables or [np.zeros((0, 5), np.int64)])))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, begins, runs = sent.value
         for pdf in batches:
             sequence_of = np.zeros(len(pdf), np.int64)
             offset = np.zeros(len(pdf), np.int64)
-            keys, idx = pdf[["range", "length"]].to_numpy(np.int64), pdf["idx"].to_numpy()
-            for key in np.unique(keys, axis=0):
-                rows = np.flatnonzero((keys == key).all(axis=1))
-                begin, first, each, seq, off = sent.value[int(key[0]), int(key[1])]
-                rank = idx[rows] - begin
+            length, idx = pdf["length"].to_numpy(np.int64), pdf["idx"].to_numpy()
+            key = pdf["range"].to_numpy(np.int64) * (capacity + 1) + length
+            for k in np.unique(key):
+                rows = np.flatnonzero(key == k)
+                first, each, seq, off = runs[np.searchsorted(runs[:, 0], k) : np.searchsorted(runs[:, 0], k, "right"), 1:].T
+                rank = idx[rows] - begins[np.searchsorted(keys, k)]
                 run = np.searchsorted(first, rank, "right") - 1
                 inside = rank - first[run]
                 sequence_of[rows] = seq[run] + inside // each[run]
-                offset[rows] = off[run] + inside % each[run] * key[1]
+                offset[rows] = off[run] + inside % each[run] * length[rows[0]]
             yield pdf.drop(columns=["idx", "range"]).assign(sequence_id=sequence_of, offset=offset)
 
     names = [c for c in kept if c != "place"]

@@ -9,7 +9,7 @@ import numpy as np
 
 import corpus_pipeline
 from clauseflow.llm import pii, tokens
-from test_operators import PII, SF, WORD, brute_components, passes, plain, table
+from test_operators import PII, SF, WORD, passes, plain, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
     assert [d.columns for d in (known, alone, clean, mixed)] == [COLUMNS] * 4
     assert known.count() == whole.count()  # all documents there have a language
     rows = plain_rows(known)
-    expected = {c for i, n, c in brute_components(rows) if n} | {i for i, n, _ in brute_components(rows) if not n}
+    expected = five_word_components(rows)
     assert {r["doc_id"] for r in alone.collect()} == expected and alone.count() == len(expected)
     for r in clean.collect():
         assert not any(passes(k, m.group()) for k, p in PII.items() for m in re.finditer(p, r["text"]))
@@ -79,12 +79,12 @@ def test_empty_table(spark, tmp_path):
 
 def five_word_components(rows):
     """The least id of each document's component by links of 5-word Jaccard similarity 0.8, one pair at a time."""
-    words = [WORD.findall(t.lower()) for _, t in rows]
-    sets = [{tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} for w in words]
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for _, t in rows]
+    sets = [{tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
     label = list(range(len(sets)))
     for a in range(len(sets)):
         for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = label[a], label[b]
                 label = [y if v == x else v for v in label]
     least = {}
@@ -111,3 +111,15 @@ def test_near_copies_by_five_words(spark, tmp_path):
     kept = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()]
     assert len(kept) == len(set(kept)) and set(kept) == five_word_components(plain(spark, sf))
     assert 900 in kept and 901 not in kept
+
+
+def test_rows_are_found_in_the_order_they_were_written(spark, tmp_path):
+    from clauseflow.llm.common import placed
+
+    spark.range(3000).repartitionByRange(12, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/t")
+    for frame in (spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/t").withColumnRenamed("id", "_metadata")):
+        place = placed(frame)
+        rows = place.frame.select(place.frame.columns[0], place.column.alias("place")).collect()
+        assert len({tuple(r["place"]) for r in rows}) == 3000
+    place = placed(spark.read.parquet(f"{tmp_path}/t"))
+    assert [r["id"] for r in place.frame.select("id", place.column.alias("place")).orderBy("place").collect()] == list(range(3000))
