@@ -135,9 +135,8 @@ def with_headings(blocks: DataFrame) -> DataFrame:
     return with_optional(blocks).withColumn("heading", block_heading())
 
 
-def boundaries(blocks: DataFrame) -> DataFrame:
-    """The relation of each block to the one before it: contract_id, seq (of the right one), left_id, right_id, relation,
-    confidence, decision_source, evidence, warnings, review_required. Blocks come with headings."""
+def _related(blocks: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Blocks (with headings) and what lies before them, and the columns of their boundaries; _first has none."""
     w = W.partitionBy("contract_id").orderBy("seq")
     rows = blocks.withColumns({
         "left_id": F.lag("block_id").over(w),
@@ -145,7 +144,6 @@ def boundaries(blocks: DataFrame) -> DataFrame:
         "_first": F.row_number().over(w) == 1,
         "_anchored": F.max(F.col("heading").isNotNull()).over(W.partitionBy("contract_id")),
     })
-    rows = rows.filter(~F.col("_first"))
     headed, level = F.col("heading").isNotNull(), F.col("heading.level")
     same = (F.col("_left_source") == F.col("source_block")) & (F.col("left_id") != F.col("block_id"))
     default = F.when(F.col("_anchored"), 0.76).otherwise(0.42)
@@ -158,10 +156,10 @@ def boundaries(blocks: DataFrame) -> DataFrame:
     ]
     label = F.when(F.col("heading.label") == "", "无编号标题").otherwise(F.col("heading.label"))
     same = F.coalesce(same, F.lit(False))
-    return rows.select(
-        "contract_id",
-        "seq",
-        "left_id",
+    return rows, [
+        F.col("contract_id"),
+        F.col("seq"),
+        F.col("left_id"),
         F.col("block_id").alias("right_id"),
         F.when(headed & (level <= 2), "NEW_CLAUSE").when(headed, "NEW_SUBCLAUSE").when(same, "CONTINUATION").otherwise("SAME_CLAUSE").alias("relation"),
         confidence.alias("confidence"),
@@ -169,7 +167,14 @@ def boundaries(blocks: DataFrame) -> DataFrame:
         F.array(F.when(headed, F.concat(F.lit("右侧识别为"), label, F.lit("，层级"), level.cast("string"))).when(same, "两个文本块来自同一PDF原始区块的相邻行").otherwise("未发现新的编号或标题结构")).alias("evidence"),
         F.filter(F.array(*warn), lambda x: x.isNotNull()).alias("warnings"),
         (confidence < AUTO_ACCEPT).alias("review_required"),
-    )
+    ]
+
+
+def boundaries(blocks: DataFrame) -> DataFrame:
+    """The relation of each block to the one before it: contract_id, seq (of the right one), left_id, right_id, relation,
+    confidence, decision_source, evidence, warnings, review_required. Blocks come with headings."""
+    rows, columns = _related(blocks)
+    return rows.filter(~F.col("_first")).select(*columns)
 
 
 def clauses(blocks: DataFrame, decided: DataFrame) -> DataFrame:
@@ -180,8 +185,21 @@ def clauses(blocks: DataFrame, decided: DataFrame) -> DataFrame:
     """
     extra = {c: F.lit(None).cast("string") for c in ("right_block_role", "inferred_title") if c not in decided.columns}
     marks = decided.withColumns(extra).select("contract_id", "seq", "relation", F.col("confidence").alias("_sure"), "right_block_role", "inferred_title")
+    return _tree(blocks.join(marks, ["contract_id", "seq"], "left"))
+
+
+def own_clauses(blocks: DataFrame) -> DataFrame:
+    """clauses() at the boundaries() of the same blocks, which need no join: each block has its own at hand."""
+    rows, _ = _related(blocks)
+    headed, level = F.col("heading").isNotNull(), F.col("heading.level")
+    relation = F.when(~F.col("_first"), F.when(headed & (level <= 2), "NEW_CLAUSE").when(headed, "NEW_SUBCLAUSE").otherwise("SAME_CLAUSE"))
+    none = F.lit(None).cast("string")  # a boundary that opens a clause here has a heading, so that nothing is guessed
+    return _tree(rows.withColumns({"relation": relation, "_sure": F.lit(None).cast("double"), "right_block_role": none, "inferred_title": none}))
+
+
+def _tree(rows: DataFrame) -> DataFrame:
+    """The tree of blocks with the relation, _sure, right_block_role and inferred_title of the boundary before them."""
     w = W.partitionBy("contract_id").orderBy("seq")
-    rows = blocks.join(marks, ["contract_id", "seq"], "left")
     rows = rows.withColumn("_opens", (F.row_number().over(w) == 1) | F.coalesce(F.col("relation").isin("NEW_CLAUSE", "NEW_SUBCLAUSE"), F.lit(False)))
     rows = rows.withColumn("clause_seq", F.sum(F.col("_opens").cast("int")).over(w).cast("int"))
     title = F.col("right_block_role") == "TITLE"
@@ -257,4 +275,4 @@ def analyze(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks with headings, boundaries, clauses) of raw blocks."""
     prepared = with_headings(prepare_blocks(blocks))
     decided = boundaries(prepared)
-    return prepared, decided, clauses(prepared, decided)
+    return prepared, decided, own_clauses(prepared)
