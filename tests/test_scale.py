@@ -39,3 +39,28 @@ def test_trees_need_no_join_and_no_shuffle_of_texts(spark):
     assert exchanges(tree) == exchanges(blocks)
     assert rows(tree) == rows(structure.clauses(prepared, decided).select(*tree.columns))
     assert exchanges(checks.check_references(queries._clauses(spark, SF))) == exchanges(blocks)
+
+
+def test_merge_is_the_plain_greedy_merge(spark):
+    import random
+
+    from clauseflow.operators import elements
+
+    draw = random.Random(7)
+    items = [(c, i, f"E{i:04d}", k, draw.choice(["甲", "甲乙", "甲乙丙丁", "乙丙", "丁戊己庚辛", "戊己庚", "x", "1,000"]), "", "", 1, "C0001", [], draw.choice([0.5, 0.7, 0.9]), "rule") for c in range(40) for i, k in enumerate(draw.choices(["party", "date", "amount"], k=14), 1)]
+    frame = spark.createDataFrame(items, "contract_id long, seq int, element_id string, kind string, value string, normalized string, role string, clause_seq int, clause_id string, block_ids array<string>, confidence double, source string")
+    want = []
+    for c in range(40):
+        held = []
+        for row in (x for x in items if x[0] == c):
+            key = row[4].replace(",", "")
+            joins = lambda h: h["kind"] == row[3] and row[3] != "amount" and (lambda a, b: len(a) >= 0.5 * len(b) and a in b)(*sorted((h["key"], key), key=len))  # noqa: B023, E731
+            target = next((h for h in held if (h["kind"], h["key"]) == (row[3], key)), None) or next((h for h in held if joins(h)), None)
+            if target is None:
+                held.append({"kind": row[3], "key": key, "value": row[4], "sure": row[10]})
+            elif row[10] > target["sure"]:
+                target.update(value=row[4], sure=row[10])
+        want += [(c, n, h["kind"], h["value"], h["sure"]) for n, h in enumerate(held, 1)]
+    merged = elements.merge(frame)
+    assert sorted(tuple(r) for r in merged.select("contract_id", "seq", "kind", "value", "confidence").collect()) == want
+    assert "Python" not in str(merged._jdf.queryExecution().executedPlan()) and "MapInPandas" not in str(merged._jdf.queryExecution().executedPlan())
