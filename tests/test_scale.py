@@ -64,3 +64,11 @@ def test_merge_is_the_plain_greedy_merge(spark):
     merged = elements.merge(frame)
     assert sorted(tuple(r) for r in merged.select("contract_id", "seq", "kind", "value", "confidence").collect()) == want
     assert "Python" not in str(merged._jdf.queryExecution().executedPlan()) and "MapInPandas" not in str(merged._jdf.queryExecution().executedPlan())
+
+
+def test_plans_of_model_elements_and_outline_issues_stay_small(spark):
+    from clauseflow.plans import channel_queries
+
+    for name in ("model_elements", "outline_issues"):
+        plan = channel_queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 60_000 and plan.count("customer.parquet") <= 3 and plan.count("Window") <= 12, (name, len(plan))
