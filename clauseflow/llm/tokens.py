@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, shuffle_width, table
-from .words import Recent, chunks, held, split_words
+from .words import Recent, chunks, coded_words, held, strings
 
 END_ID = 2
 MAGIC = b"CFBITS01"
@@ -64,8 +64,9 @@ class Encoder:
 
     The tokenizer's pre-tokenizer never joins across a blank, so a text's ids are its words' ids in a row; ids of
     words seen before come from a bounded cache. It also parts letters from the signs that follow and lower-cases, so
-    a new word is looked up again without its tail. New words of letters only are one pre-token each, whose last piece
-    carries the end-of-word mark: many of them are encoded as one text, and the marks part their ids.
+    a word is looked up without its tail, and the cache holds it once for all its tails. New words of letters only are
+    one pre-token each, whose last piece carries the end-of-word mark: many of them are encoded as one text, and the
+    marks part their ids.
     """
 
     def __init__(self, path: str):
@@ -80,24 +81,43 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         # Lower case before composing accents could compose more, or make a special token: such texts go as they are.
         plain = pc.invert(pc.match_substring_regex(texts, "<\\||[\u0300-\u036f]"))
-        docs, places, words = split_words(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n ")
-        data, new = self.cache.find(words)
-        if new:
-            self.learn(new)
-            data = self.cache.fill(words, data)
+        docs, places, words = coded_words(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n ")
+        data = self.data(words)
         places, docs = places.tolist(), docs.tolist()
         return [b"".join([data[k] for k in places[a:b]]) for a, b in zip(docs, docs[1:], strict=False)]
 
-    def learn(self, new: list[str]) -> None:
-        cores, tails = [], []
-        for w in new:
-            core = w.rstrip(TAILS)
-            if "<|" in w or not core.isalpha():  # may be a special token, or more than letters
-                core = w
-            cores.append(core)
-            tails.append(w[len(core) :])
-        asked = list({*cores, *tails})
-        _, missing = self.cache.find(asked)
+    def data(self, words: pa.Array) -> list[bytes]:
+        """The ids of each word. Only letters without their tail, tails and words of other signs are looked up and kept."""
+        coded = pc.utf8_rtrim(words, TAILS).dictionary_encode()
+        cores, of = strings(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+        letters = np.fromiter(map(str.isalpha, cores), bool, len(cores))
+        whole = np.flatnonzero(~letters[of])  # may be a special token, or more than letters
+        sizes = pc.binary_length(words).to_numpy(), pc.binary_length(coded.dictionary).to_numpy()
+        tailed = np.flatnonzero(letters[of] & (sizes[0] > sizes[1][of]))
+        others = strings(words.take(pa.array(whole)))
+        tails = [w[len(cores[k]) :] for w, k in zip(strings(words.take(pa.array(tailed))), of[tailed].tolist(), strict=True)]
+        known = self.ids([w for w, x in zip(cores, letters.tolist(), strict=True) if x])
+        rest = list({*others, *tails})
+        signs = dict(zip(rest, self.ids(rest), strict=True))
+        by_core: list = [None] * len(cores)
+        for k, v in zip(np.flatnonzero(letters).tolist(), known, strict=True):
+            by_core[k] = v
+        out = [by_core[k] for k in of.tolist()]
+        for i, w in zip(whole.tolist(), others, strict=True):
+            out[i] = signs[w]
+        for i, t in zip(tailed.tolist(), tails, strict=True):
+            out[i] += signs[t]
+        return out
+
+    def ids(self, asked: list[str]) -> list[bytes]:
+        """The ids of each of these, which are different from each other."""
+        found, missing = self.cache.find(asked)
+        if missing:
+            self.learn(missing)
+            found = self.cache.fill(asked, found)
+        return found
+
+    def learn(self, missing: list[str]) -> None:
         letters, whole = [w for w in missing if w.isalpha()], [w for w in missing if not w.isalpha()]
         known = self.cache.young
         for at in range(0, len(letters), 2048):
@@ -113,7 +133,6 @@ class Encoder:
             part = whole[at : at + 2048]
             got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        known.update((w, known[c] + known[t] if t else known[c]) for w, c, t in zip(new, cores, tails, strict=True))
 
 
 def encoder(path: str) -> Encoder:

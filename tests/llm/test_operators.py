@@ -171,6 +171,14 @@ def test_encoder_equals_the_tokenizer():
     assert got == [x.tolist() for x in expected_ids(list(enumerate(texts)))]
 
 
+def test_encoder_keeps_a_word_once_for_all_its_tails():
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    text = "haus haus, haus. haus!) baum baum, 12, 12."
+    got = np.frombuffer(encoder(pa.array([text]))[0], "<u4").tolist()
+    assert got == expected_ids([(1, text)])[0].tolist()
+    assert set(encoder.cache.young) == {"haus", "baum", ",", ".", "!)", "12,", "12."}
+
+
 def spark_xxhash(*values, seed=42):
     import xxhash
 
