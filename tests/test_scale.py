@@ -41,6 +41,20 @@ def test_trees_need_no_join_and_no_shuffle_of_texts(spark):
     assert exchanges(checks.check_references(queries._clauses(spark, SF))) == exchanges(blocks)
 
 
+def test_element_signals_read_the_clauses_once(spark):
+    from clauseflow.operators import elements, signals
+
+    tree = queries._clauses(spark, SF)
+    bad = "第一条 自2026年2月30日起至2026年2月1日止，自2026年3月2日起至2026年3月1日止，租金0元，押金10000000元"
+    blocks = spark.createDataFrame([("a", 1, "paragraph", bad), ("a", 2, "paragraph", "第二条 价款"), ("b", 1, "paragraph", ""), ("b", 2, "paragraph", None)], "contract_id string, seq int, kind string, text string")
+    for clauses in (tree, structure.analyze(blocks)[2]):
+        want = signals.signals(clauses, elements.extract(clauses))
+        assert rows(signals.pattern_signals(clauses).select(*want.columns)) == rows(want)
+    plan = queries.element_signals(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem.parquet") + plan.count("Relation") <= 2, plan
+    assert exchanges(signals.pattern_signals(tree)) == exchanges(tree)
+
+
 def test_merge_is_the_plain_greedy_merge(spark):
     import random
 
