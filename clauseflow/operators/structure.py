@@ -255,6 +255,40 @@ def with_parents(tree: DataFrame) -> DataFrame:
     return tree.withColumn("parent_seq", parent).drop(*last).withColumn("parent_id", F.when(F.col("parent_seq").isNotNull(), F.format_string("C%04d", "parent_seq")))
 
 
+_BREAKS = r"[\n\x0b\f\r\x{85}\x{2028}\x{2029}]"
+
+
+def paragraph_clauses(texts: Column) -> Column:
+    """array<struct<label, text>>: the clauses that analyze() makes of one contract's paragraphs, whose texts come in order.
+
+    The whole contract is one row, so that its lines need no sort; paragraphs have no numbering or style of their own.
+    """
+
+    def label(text: Column) -> Column:
+        """'' without a heading."""
+        first = F.when(F.regexp_like(text, F.lit(_BREAKS)), F.element_at(F.split(text, r"\R", 2), 1)).otherwise(text)
+        own = let(strip(first), lambda line: F.when(F.length(line) <= 180, strip(F.regexp_extract(line, P.HEADING_LABEL, 1))).otherwise(""))
+        return F.when(F.regexp_like(text, F.lit(P.HEADING_BEGINS.replace("^", r"^\s*"))), own).otherwise("")
+
+    def apart(text: Column) -> Column:
+        lines = F.filter(F.transform(F.split(text, r"\R", -1), lambda x: strip(x)), lambda x: x != "")
+        return let(lines, lambda held: F.when((F.size(held) > 1) & F.exists(held, is_heading), held).otherwise(F.array(text)))
+
+    def of(blocks: Column, labels: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(blocks)), lambda i: (i == 1) | (F.get(labels, i - 1) != ""))
+
+        def clause(first: Column, stop: Column) -> Column:
+            named = F.coalesce(F.nullif(F.get(labels, first - 1), F.lit("")), F.lit("前言"))
+            return F.struct(named.alias("label"), F.array_join(F.slice(blocks, first, stop - first), "\n").alias("text"))
+
+        return let(starts, lambda s: F.transform(s, lambda first, i: clause(first, F.coalesce(F.get(s, i + 1), F.size(blocks) + 1))))
+
+    none = F.array().cast("array<struct<label:string,text:string>>")
+    texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
+    blocks = let(texts, lambda ts: F.when(F.exists(ts, lambda t: F.regexp_like(t, F.lit(_BREAKS))), F.flatten(F.transform(ts, apart))).otherwise(ts))
+    return let(blocks, lambda bs: F.when(F.size(bs) > 0, let(F.transform(bs, label), lambda labels: of(bs, labels))).otherwise(none))
+
+
 def stats(blocks: DataFrame, tree: DataFrame, decided: DataFrame) -> DataFrame:
     """Counts a contract: characters (and those before cleaning), blocks, clauses, boundaries to review and those that a
     model decided, pages."""

@@ -41,6 +41,42 @@ def test_trees_need_no_join_and_no_shuffle_of_texts(spark):
     assert exchanges(checks.check_references(queries._clauses(spark, SF))) == exchanges(blocks)
 
 
+ODD = {
+    "empty": [], "nulls": [None, None], "blank": ["", "第一条 x", None], "heading first": ["第一条 见附件三。", "附件", "附件一"], "no heading": ["见附件3", "甲方：张三", "甲方：李四"],
+    "broken": ["前文\n 第二条 总价1,200.00元\n首付款300元；余款800元\r\n附件二 表", "甲方：\n王五五", "第三条 x\n没有标题"], "broken without headings": ["甲方：赵六\n乙方：孙七", "甲方：\n 周八八\x85乙方：吴九九"],
+    "blanks": ["  第三条　x", "\u3000１.１ y", "1.1 ", "1.1", "1.1：z", "1.1.1.1.1.1.1 q", "1、3", "1、x", "（十） x", "附录", "附件 二", "见 附件 2、附件二、附件九、附件９、附件0009、附件百", "\u2003", "第五章" + "长" * 178, "第五章" + "长" * 177 + "  "],
+    "marks": ["甲方：张\x01三\x02四\x03五", "\x03第一条 总价10元，首付2元，余款3元\x02。", "自2026年3月2日起至2026年3月1日止\x01", "第二条\x02 附件7"],
+    "amounts": ["总价款RMB 1,200.00元，定金２００元", "定金200元、余款200元、尾款 1000.01元，金额-5元", "总价款9元"], "few amounts": ["总价款10元；首付款3元", "首付款5元；余款5元"], "even": ["总价10元，首付4元，余款6元，首付4元"],
+    "parties": ["出卖人（甲方）：张三公司", "甲方（签章）：张三公司将x 乙方：李四支付", "买受人：李四", "丙方：王五；丙方：王六", "付款方：x1", "甲方：双方", "委托人(供方):孙七七 供方：孙七"],
+    "terms": ["自2026年3月2日起至2026年3月1日止，自 2026 年 3月 2日 起 到２０２６年３月１日 止", "第一条 期限为 2026年12月1日—2026年11月30日", "期限自2026年3月2日至2026年3月1日", "自٢٠٢٦年3月2日起至2026年3月1日止", "自2026年03月02日至2026年3月10日止", "期限", "2026年5月2日-2026年5月1日"],
+    "crossing": ["期限", "第一条 2026年5月2日-2026年5月1日", "甲方：", "第二条 x", "总价", "第三条 10元，首付3元，余款4元", "附件", "1 x"],
+    "summary": ["约定交付 2026年1月1日，起止日期2026年1月2日，交付日期2026年1月2日", "第一条 应于2026年1月1日前，截止日2026年2月1日"], "summary alone": ["约定交付 2026年1月1日"], "far": ["约定交付" + "很" * 30 + "2026年1月1日", "应于2026年1月2日"],
+}
+
+
+def test_counts_of_whole_contracts_are_those_of_findings(spark):
+    from clauseflow.operators import elements
+
+    blocks = spark.createDataFrame([(k, i, "paragraph", t) for k, ts in ODD.items() for i, t in enumerate(ts, 1)], "contract_id string, seq int, kind string, text string")
+    whole = spark.createDataFrame(list(ODD.items()), "contract_id string, texts array<string>")
+    for rows_, held in ((blocks, whole), (synth.blocks(spark, SF), synth.contracts(spark, SF))):
+        tree = structure.analyze(rows_)[2].select("contract_id", "clause_seq", "clause_id", "label", "text", "block_ids").localCheckpoint()
+        held = held.select("contract_id", structure.paragraph_clauses(F.col("texts")).alias("clauses")).localCheckpoint()
+        each = held.select("contract_id", F.posexplode("clauses").alias("i", "c")).select("contract_id", (F.col("i") + 1).alias("clause_seq"), "c.label", "c.text")
+        assert rows(each) == rows(tree.select(*each.columns))
+        want = checks.findings(tree, elements.extract(tree, ("party", "amount"))).groupBy("contract_id", "code").agg(F.count("*").alias("n"))
+        got = checks.counts(held)
+        assert rows(got) == rows(want) and got.select("code").distinct().count() == 4
+
+
+def test_finding_rollup_reads_its_tables_once_and_caches_nothing(spark):
+    spark.catalog.clearCache()
+    frame = queries.finding_rollup(spark, SF)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Window" not in plan and "Python" not in plan and "InMemoryTableScan" not in plan, plan
+    assert exchanges(frame) == 3 and frame.columns == ["code", "n"]
+
+
 def test_element_signals_read_the_clauses_once(spark):
     from clauseflow.operators import elements, signals
 
