@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import chinese_number, date_key, date_key_of, digits, let, matches, party_side, strip, window_before
-from .elements import amount_items, party_items
+from ..functions.text import chinese_number, date_key, date_key_of, groups_of, let, lookup, matches, nearest_role, party_name, party_side, plain_number, strip, window_before
+from .elements import is_party
 from .schemas import DDL, FINDING_CODES
 
 CODES = ("amount_conflict", "date_conflict", "party_conflict", "reference_conflict")
@@ -190,33 +190,48 @@ def rollup(found: DataFrame) -> DataFrame:
     return found.groupBy("code").count().withColumnRenamed("count", "n")
 
 
-def _amounts_differ(items: Column) -> Column:
-    """How many findings check_amounts() has (0 or 1), of the amounts of one contract in order."""
-    value = lambda x: F.coalesce(F.nullif(x["normalized"], F.lit("")), x["value"]).try_cast("double")
-    total = value(F.get(F.filter(items, lambda x: x["role"] == TOTAL), 0))
-    paid = F.filter(F.array_distinct(F.transform(F.filter(items, lambda x: x["role"].isin(*DEPOSITS, *BALANCES)), value)), lambda v: v.isNotNull())
-    both = F.exists(items, lambda x: x["role"].isin(*DEPOSITS)) & F.exists(items, lambda x: x["role"].isin(*BALANCES))
-    off = let(paid, lambda vs: (F.size(vs) > 0) & (F.abs(F.aggregate(vs, F.lit(0.0), lambda a, v: a + v) - total) > 0.01))
-    return F.when(both & off, 1).otherwise(0)
+def _groups(texts: Column, marked: Column, pattern: str, groups: int, apart: str | None = None) -> Column:
+    """The groups of all matches in a contract's texts; apart: the pattern that doesn't reach past the last mark."""
+    one_by_one = F.flatten(F.transform(texts, lambda t: F.transform(matches(t, pattern, groups), lambda m: F.array(*[m[f"g{i}"] for i in range(groups + 1)]))))
+    return F.when(marked, one_by_one).otherwise(groups_of(texts, apart or pattern, groups))
 
 
-def _sides_of_two_names(items: Column) -> Column:
-    """How many findings check_parties() has, of the parties of one contract."""
-    named = F.transform(items, lambda x: F.concat(party_side(x["role"]), strip(x["value"])))  # null without a side
-    sides = dict.fromkeys(P.PARTY_SIDES.values())  # of two signs each, so that no side and name are other ones' together
-    several = lambda names: reduce(Column.__add__, [F.when(F.size(F.filter(names, lambda n: n.startswith(side))) > 1, 1).otherwise(0) for side in sides])  # noqa: B023, E731
-    return F.when(F.size(items) > 1, let(F.array_distinct(F.filter(named, lambda n: n.isNotNull())), several)).otherwise(0)
+def _amounts_differ(texts: Column) -> Column:
+    """How many findings check_amounts() has (0 or 1), of the amounts in one contract's texts in order."""
 
+    def of(items: Column) -> Column:
+        total = F.get(F.filter(items, lambda x: x["role"] == TOTAL), 0)["v"]
+        paid = F.filter(F.array_distinct(F.transform(F.filter(items, lambda x: x["role"].isin(*DEPOSITS, *BALANCES)), lambda x: x["v"])), lambda v: v.isNotNull())
+        both = F.exists(items, lambda x: x["role"].isin(*DEPOSITS)) & F.exists(items, lambda x: x["role"].isin(*BALANCES))
+        off = let(paid, lambda vs: (F.size(vs) > 0) & (F.abs(F.aggregate(vs, F.lit(0.0), lambda a, v: a + v) - total) > 0.01))
+        return F.when(both & off, 1).otherwise(0)
 
-def _reversed_days(text: Column) -> Column:
-    """The pairs of days of reversed_terms() of one text, repeats included, as one string each."""
-    number = lambda m, i: digits(m[f"g{i}"]).try_cast("int")
-    day = lambda m, i: number(m, i) * 10_000 + number(m, i + 1) * 100 + number(m, i + 2)
-    key = lambda m, i: date_key(m[f"g{i}"], m[f"g{i + 1}"], m[f"g{i + 2}"])
+    item = lambda t, m: F.struct(nearest_role(t, m["start"], P.MONEY_ROLES).alias("role"), plain_number(m["g2"]).try_cast("double").alias("v"))
+    return let(F.flatten(F.transform(F.filter(texts, lambda t: F.contains(t, F.lit("元"))), lambda t: F.transform(matches(t, P.MONEY, 2), lambda m: item(t, m)))), of)
+
+
+def _sides_of_two_names(texts: Column, marked: Column) -> Column:
+    """How many findings check_parties() has, of the parties in one contract's texts."""
+    # Of two signs each, or null: side and name together are no other ones'. The role is g1 with g2 in brackets, or g3.
+    side = lambda g: lookup(P.PARTY_SIDES, F.when(g[2].isin(*P.PARTY_PRIMARY), g[2]).otherwise(F.concat(g[1], g[3])))
+    sides = dict.fromkeys(P.PARTY_SIDES.values())
+    several = lambda named: reduce(Column.__add__, [F.when(F.size(F.filter(named, lambda n: n.startswith(s))) > 1, 1).otherwise(0) for s in sides])  # noqa: B023, E731
+    there = F.filter(texts, lambda t: F.contains(t, F.lit("：")) | F.contains(t, F.lit(":")))
+    raw = F.array_distinct(F.filter(F.transform(_groups(there, marked, P.PARTY, 4, P.PARTY_APART), lambda g: F.concat(side(g), g[4])), lambda n: n.isNotNull()))
+    names = lambda raw: F.filter(F.transform(raw, lambda n: F.struct(F.left(n, F.lit(2)).alias("side"), strip(party_name(F.substring(n, 3, 1 << 30))).alias("name"))), lambda x: is_party(x["name"]))
+    sure = lambda raw: several(F.array_distinct(F.transform(names(raw), lambda x: F.concat(x["side"], x["name"]))))
+    return let(raw, lambda raw: F.when(several(raw) > 0, sure(raw)).otherwise(0))  # one text for a side is one name
+
+
+def _reversed_days(texts: Column, marked: Column) -> Column:
+    """The pairs of days of reversed_terms() of one contract's texts, repeats included, as one string each."""
+    day = lambda g, i: g[i].try_cast("int") * 10_000 + g[i + 1].try_cast("int") * 100 + g[i + 2].try_cast("int")
+    key = lambda g, i: date_key(g[i], g[i + 1], g[i + 2])
 
     def of(pattern: str, needs: str) -> Column:
-        doubtful = F.filter(matches(text, pattern, 6, needs), lambda m: F.coalesce(day(m, 1) > day(m, 4), F.lit(True)))  # digits that are no numbers here
-        keys = F.transform(doubtful, lambda m: F.struct(key(m, 1).alias("a"), key(m, 4).alias("b")))
+        found = _groups(F.filter(texts, lambda t: F.contains(t, F.lit(needs))), marked, pattern, 6)
+        doubtful = F.filter(found, lambda g: F.coalesce(day(g, 1) > day(g, 4), F.lit(True)))  # also digits that a cast does not know
+        keys = F.transform(doubtful, lambda g: F.struct(key(g, 1).alias("a"), key(g, 4).alias("b")))
         return F.transform(F.filter(keys, lambda k: k["a"] > k["b"]), lambda k: F.concat(k["a"], k["b"]))
 
     return F.concat(*[of(pattern, needs) for pattern, needs in P.TERM_NUMBERS])
@@ -231,39 +246,48 @@ def _unnamed_summary_days(clauses: Column) -> Column:
     return F.when(cue, left).otherwise(0)
 
 
-def _undefined_attachments(clauses: Column) -> Column:
+def _undefined_attachments(clauses: Column, marked: Column) -> Column:
     """How many findings check_references() has, of which those with alike messages are one."""
     own = lambda c: F.when(c["label"].startswith("附件"), _own_attachment(c["label"])).otherwise("")
     defined = F.transform(F.filter(clauses, lambda c: own(c) != ""), lambda c: chinese_number(own(c)))
+    others = F.transform(F.filter(clauses, lambda c: F.contains(c["text"], F.lit("附件")) & (own(c) == "")), lambda c: c["text"])
+    number = lambda x: x["n"]
+    shown = lambda x: F.substring(x["g"], 1, MESSAGE_KEY - 7)  # noqa: E731  what the message says of it, as far as it counts
+
+    def lost(names: Column, known: Column) -> Column:
+        return F.filter(F.transform(names, lambda g: F.struct(chinese_number(g).alias("n"), g.alias("g"))), lambda x: x["n"].isNotNull() & ~F.array_contains(known, x["n"]))
+
+    def by_clause(known: Column) -> Column:
+        """Of each clause, a number only as it is written first."""
+        first = lambda xs: F.transform(F.array_distinct(F.transform(xs, number)), lambda n: shown(F.get(F.filter(xs, lambda x: x["n"] == n), 0)))
+        return F.flatten(F.transform(others, lambda t: let(lost(F.transform(matches(t, P.ATTACHMENT, 1), lambda m: m["g1"]), known), first)))
 
-    def named(text: Column, known: Column) -> Column:
-        """What the message says of each number, as first written, as far as it counts."""
-        found = F.transform(matches(text, P.ATTACHMENT, 1, "附件"), lambda m: F.struct(chinese_number(m["g1"]).alias("n"), F.substring(m["g1"], 1, MESSAGE_KEY - 7).alias("t")))
-        lost = F.filter(found, lambda x: x["n"].isNotNull() & ~F.array_contains(known, x["n"]))
-        first = lambda xs: F.transform(F.array_distinct(F.transform(xs, lambda x: x["n"])), lambda n: F.get(F.filter(xs, lambda x: x["n"] == n), 0)["t"])
-        return let(lost, lambda xs: F.when(F.size(xs) > 1, first(xs)).otherwise(F.transform(xs, lambda x: x["t"])))
+    def count(known: Column) -> Column:
+        names = F.array_distinct(F.transform(groups_of(others, P.ATTACHMENT, 1), lambda g: g[1]))
+        alike = lambda xs: F.size(F.array_distinct(F.transform(xs, number))) < F.size(xs)  # noqa: E731  numbers written in two ways
+        apart = F.size(F.array_distinct(by_clause(known)))
+        return F.when(marked, apart).otherwise(let(lost(names, known), lambda xs: F.when(alike(xs), apart).otherwise(F.size(F.array_distinct(F.transform(xs, shown))))))
 
-    others = F.filter(clauses, lambda c: F.contains(c["text"], F.lit("附件")) & (own(c) == ""))
-    return let(F.filter(F.array_distinct(defined), lambda n: n.isNotNull()), lambda known: F.size(F.array_distinct(F.flatten(F.transform(others, lambda c: named(c["text"], known))))))
+    return F.when(F.size(others) == 0, 0).otherwise(let(F.filter(F.array_distinct(defined), lambda n: n.isNotNull()), count))
 
 
 def counts(contracts: DataFrame) -> DataFrame:
     """contract_id, code, n: how many findings() whole contracts have; contract_id, clauses (array<struct<label, text>>, in order).
 
     Clauses are read once and nothing but counts leaves a contract's row: findings are told apart by what makes their
-    messages differ, and neither written out nor numbered.
+    messages differ, and neither written out nor numbered. What needs no places is searched for in all clauses at once.
     """
-    every = lambda items: lambda held: F.flatten(F.transform(held, lambda c: items(c["text"])))
-    held = F.col("clauses")
-    terms = F.size(F.array_distinct(every(_reversed_days)(held)))
+    texts, marked = F.col("_texts"), F.col("_marked")
     found = {
-        "amount_conflict": let(every(amount_items)(held), _amounts_differ),
-        "date_conflict": _unnamed_summary_days(held) + terms,
-        "party_conflict": let(every(party_items)(held), _sides_of_two_names),
-        "reference_conflict": _undefined_attachments(held),
+        "amount_conflict": _amounts_differ(texts),
+        "date_conflict": _unnamed_summary_days(F.col("clauses")) + F.size(F.array_distinct(_reversed_days(texts, marked))),
+        "party_conflict": _sides_of_two_names(texts, marked),
+        "reference_conflict": _undefined_attachments(F.col("clauses"), marked),
     }
     each = F.array(*[F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")) for code, n in found.items()])
-    return contracts.select("contract_id", F.explode(each).alias("x")).select("contract_id", "x.code", "x.n").filter("n > 0")
+    rows = contracts.select("contract_id", "clauses", F.transform("clauses", lambda c: c["text"]).alias("_texts"))
+    rows = rows.withColumn("_marked", F.regexp_like(F.array_join("_texts", ""), F.lit(f"[{P.MARKS}]")))
+    return rows.select("contract_id", F.explode(each).alias("x")).select("contract_id", "x.code", "x.n").filter("n > 0")
 
 
 def tally(contracts: DataFrame) -> DataFrame:

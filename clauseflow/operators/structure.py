@@ -258,11 +258,31 @@ def with_parents(tree: DataFrame) -> DataFrame:
 _BREAKS = r"[\n\x0b\f\r\x{85}\x{2028}\x{2029}]"
 
 
+_CLAUSES = "array<struct<label:string,text:string>>"
+
+
 def paragraph_clauses(texts: Column) -> Column:
     """array<struct<label, text>>: the clauses that analyze() makes of one contract's paragraphs, whose texts come in order.
 
     The whole contract is one row, so that its lines need no sort; paragraphs have no numbering or style of their own.
+    Paragraphs of one line each are searched for headings all at once, a mark and the label go before each.
     """
+    _, part, apart = P.MARKS
+    marked = F.regexp_replace(F.concat(F.lit("\n"), F.array_join(texts, "\n", "")), F.lit(P.HEADING_LINE), F.lit(f"{apart}$2{part}$1$2"))
+
+    def clause(x: Column) -> Column:
+        """Of what stands between marks: a label, its mark and the text; or a line feed and the text before all headings."""
+        label = lambda f: F.when(f[0].startswith("附"), strip(f[0])).otherwise(f[0])  # noqa: E731  only these can end in blanks
+        headed = let(F.split(x, part, -1), lambda f: F.struct(label(f).alias("label"), f[1].alias("text")))
+        return F.when(x.startswith("\n"), F.struct(F.lit("前言").alias("label"), F.substring(x, F.lit(2), F.length(x)).alias("text"))).otherwise(headed)
+
+    at_once = F.transform(F.filter(F.split(marked, apart, -1), lambda x: x != ""), clause)
+    odd = F.regexp_like(F.array_join(texts, "", ""), F.lit(_BREAKS.replace("[", f"[{P.MARKS}")))
+    return F.when(F.size(texts) == 0, F.array().cast(_CLAUSES)).when(odd, _line_by_line(texts)).otherwise(at_once)
+
+
+def _line_by_line(texts: Column) -> Column:
+    """paragraph_clauses() of paragraphs that may have several lines, or marks."""
 
     def label(text: Column) -> Column:
         """'' without a heading."""
@@ -283,10 +303,9 @@ def paragraph_clauses(texts: Column) -> Column:
 
         return let(starts, lambda s: F.transform(s, lambda first, i: clause(first, F.coalesce(F.get(s, i + 1), F.size(blocks) + 1))))
 
-    none = F.array().cast("array<struct<label:string,text:string>>")
     texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
     blocks = let(texts, lambda ts: F.when(F.exists(ts, lambda t: F.regexp_like(t, F.lit(_BREAKS))), F.flatten(F.transform(ts, apart))).otherwise(ts))
-    return let(blocks, lambda bs: F.when(F.size(bs) > 0, let(F.transform(bs, label), lambda labels: of(bs, labels))).otherwise(none))
+    return let(blocks, lambda bs: let(F.transform(bs, label), lambda labels: of(bs, labels)))
 
 
 def stats(blocks: DataFrame, tree: DataFrame, decided: DataFrame) -> DataFrame:
