@@ -5,6 +5,7 @@ Findings: contract_id, seq, finding_id, code, severity, message, evidence, claus
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -190,10 +191,10 @@ def rollup(found: DataFrame) -> DataFrame:
     return found.groupBy("code").count().withColumnRenamed("count", "n")
 
 
-def _groups(texts: Column, marked: Column, pattern: str, groups: int, apart: str | None = None) -> Column:
+def _groups(texts: Column, marked: Column, pattern: str, groups: int, apart: str | None = None, tidy: Callable[[Column], Column] = lambda x: x) -> Column:
     """The groups of all matches in a contract's texts; apart: the pattern that doesn't reach past the last mark."""
     one_by_one = F.flatten(F.transform(texts, lambda t: F.transform(matches(t, pattern, groups), lambda m: F.array(*[m[f"g{i}"] for i in range(groups + 1)]))))
-    return F.when(marked, one_by_one).otherwise(groups_of(texts, apart or pattern, groups))
+    return F.when(marked, one_by_one).otherwise(groups_of(texts, apart or pattern, groups, tidy))
 
 
 def _amounts_differ(texts: Column) -> Column:
@@ -225,25 +226,26 @@ def _sides_of_two_names(texts: Column, marked: Column) -> Column:
 
 def _reversed_days(texts: Column, marked: Column) -> Column:
     """The pairs of days of reversed_terms() of one contract's texts, repeats included, as one string each."""
-    day = lambda g, i: g[i].try_cast("int") * 10_000 + g[i + 1].try_cast("int") * 100 + g[i + 2].try_cast("int")
-    key = lambda g, i: date_key(g[i], g[i + 1], g[i + 2])
+
+    def doubtful(a: Column, b: Column) -> Column:
+        # Days of 11 signs and 17 bytes (never fewer) have two ASCII digits for month and day, no blanks, and sort as texts do.
+        return marked | (F.octet_length(a) + F.octet_length(b) != 34) | (F.length(a) + F.length(b) != 22) | (a > b)
 
     def of(pattern: str, needs: str) -> Column:
-        found = _groups(F.filter(texts, lambda t: F.contains(t, F.lit(needs))), marked, pattern, 6)
-        doubtful = F.filter(found, lambda g: F.coalesce(day(g, 1) > day(g, 4), F.lit(True)))  # also digits that a cast does not know
-        keys = F.transform(doubtful, lambda g: F.struct(key(g, 1).alias("a"), key(g, 4).alias("b")))
+        there, apart = F.filter(texts, lambda t: F.contains(t, F.lit(needs))), pattern.replace(r"[^\n]", rf"[^\n{P.MARKS[2]}]")
+        found = _groups(there, marked, pattern, 2, apart, lambda x: F.regexp_replace(x, F.lit(P.LONE_DIGIT), F.lit("0$1")))
+        keys = F.transform(F.filter(found, lambda g: doubtful(g[1], g[2])), lambda g: F.struct(date_key_of(g[1]).alias("a"), date_key_of(g[2]).alias("b")))
         return F.transform(F.filter(keys, lambda k: k["a"] > k["b"]), lambda k: F.concat(k["a"], k["b"]))
 
-    return F.concat(*[of(pattern, needs) for pattern, needs in P.TERM_NUMBERS])
+    return F.concat(*[of(pattern, needs) for pattern, needs in P.TERMS])
 
 
-def _unnamed_summary_days(clauses: Column) -> Column:
+def _unnamed_summary_days(texts: Column, whole: Column) -> Column:
     """How many findings check_summary_dates() has. Dates are looked for only in contracts with a cue of a summary."""
     said = lambda t: F.transform(matches(t, P.DATE, 3, "年"), lambda m: F.struct(_date_side(window_before(t, m["start"], 20)).alias("side"), date_key(m["g1"], m["g2"], m["g3"]).alias("day")))
     days = lambda dates, side: F.transform(F.filter(dates, lambda d: d["side"] == side), lambda d: d["day"])
-    left = let(F.flatten(F.transform(clauses, lambda c: said(c["text"]))), lambda dates: F.when(F.size(days(dates, "clause")) > 0, F.size(F.array_except(days(dates, "summary"), days(dates, "clause")))).otherwise(0))
-    cue = F.exists(clauses, lambda c: reduce(Column.__or__, [F.contains(c["text"], F.lit(w)) for w in P.SUMMARY_DATE_CUES]))
-    return F.when(cue, left).otherwise(0)
+    left = let(F.flatten(F.transform(texts, said)), lambda dates: F.when(F.size(days(dates, "clause")) > 0, F.size(F.array_except(days(dates, "summary"), days(dates, "clause")))).otherwise(0))
+    return F.when(reduce(Column.__or__, [F.contains(whole, F.lit(w)) for w in P.SUMMARY_DATE_CUES]), left).otherwise(0)
 
 
 def _undefined_attachments(clauses: Column, marked: Column) -> Column:
@@ -280,13 +282,13 @@ def counts(contracts: DataFrame) -> DataFrame:
     texts, marked = F.col("_texts"), F.col("_marked")
     found = {
         "amount_conflict": _amounts_differ(texts),
-        "date_conflict": _unnamed_summary_days(F.col("clauses")) + F.size(F.array_distinct(_reversed_days(texts, marked))),
+        "date_conflict": _unnamed_summary_days(texts, F.col("_whole")) + F.size(F.array_distinct(_reversed_days(texts, marked))),
         "party_conflict": _sides_of_two_names(texts, marked),
         "reference_conflict": _undefined_attachments(F.col("clauses"), marked),
     }
     each = F.array(*[F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")) for code, n in found.items()])
     rows = contracts.select("contract_id", "clauses", F.transform("clauses", lambda c: c["text"]).alias("_texts"))
-    rows = rows.withColumn("_marked", F.regexp_like(F.array_join("_texts", ""), F.lit(f"[{P.MARKS}]")))
+    rows = rows.withColumn("_whole", F.array_join("_texts", "")).withColumn("_marked", F.regexp_like("_whole", F.lit(f"[{P.MARKS}]")))
     return rows.select("contract_id", F.explode(each).alias("x")).select("contract_id", "x.code", "x.n").filter("n > 0")
 
 

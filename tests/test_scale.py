@@ -48,7 +48,7 @@ ODD = {
     "marks": ["甲方：张\x01三\x02四\x03五", "\x03第一条 总价10元，首付2元，余款3元\x02。", "自2026年3月2日起至2026年3月1日止\x01", "第二条\x02 附件7"],
     "amounts": ["总价款RMB 1,200.00元，定金２００元", "定金200元、余款200元、尾款 1000.01元，金额-5元", "总价款9元"], "few amounts": ["总价款10元；首付款3元", "首付款5元；余款5元"], "even": ["总价10元，首付4元，余款6元，首付4元"],
     "parties": ["出卖人（甲方）：张三公司", "甲方（签章）：张三公司将x 乙方：李四支付", "买受人：李四", "丙方：王五；丙方：王六", "付款方：x1", "甲方：双方", "委托人(供方):孙七七 供方：孙七"],
-    "terms": ["自2026年3月2日起至2026年3月1日止，自 2026 年 3月 2日 起 到２０２６年３月１日 止", "第一条 期限为 2026年12月1日—2026年11月30日", "期限自2026年3月2日至2026年3月1日", "自٢٠٢٦年3月2日起至2026年3月1日止", "自2026年03月02日至2026年3月10日止", "期限", "2026年5月2日-2026年5月1日"],
+    "terms": ["自2026年3月2日起至2026年3月1日止，自 2026 年 3月 2日 起 到２０２６年３月１日 止", "第一条 期限为 2026年12月1日—2026年11月30日", "期限自2026年3月2日至2026年3月1日", "自٢٠٢٦年3月2日起至2026年3月1日止", "自2026年03月02日至2026年3月10日止", "期限", "2026年5月2日-2026年5月1日", "自2026年10月9日起至2026年9月30日止，自2026年9月30日起至2026年10月9日止", "自2026年5 月19日至2026年05月9日止，自2026年٧月19日起至2026年٧月18日止", "期限 1月零1日内另计2026年5月4日至2026年5月3日", "期限 1月零一日内另加三四2026年5月6日至2026年5月5日"],
     "crossing": ["期限", "第一条 2026年5月2日-2026年5月1日", "甲方：", "第二条 x", "总价", "第三条 10元，首付3元，余款4元", "附件", "1 x"],
     "summary": ["约定交付 2026年1月1日，起止日期2026年1月2日，交付日期2026年1月2日", "第一条 应于2026年1月1日前，截止日2026年2月1日"], "summary alone": ["约定交付 2026年1月1日"], "far": ["约定交付" + "很" * 30 + "2026年1月1日", "应于2026年1月2日"],
 }
