@@ -5,7 +5,6 @@ Findings: contract_id, seq, finding_id, code, severity, message, evidence, claus
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -191,10 +190,10 @@ def rollup(found: DataFrame) -> DataFrame:
     return found.groupBy("code").count().withColumnRenamed("count", "n")
 
 
-def _groups(texts: Column, marked: Column, pattern: str, groups: int, apart: str | None = None, tidy: Callable[[Column], Column] = lambda x: x) -> Column:
+def _groups(texts: Column, marked: Column, pattern: str, groups: int, apart: str | None = None) -> Column:
     """The groups of all matches in a contract's texts; apart: the pattern that doesn't reach past the last mark."""
     one_by_one = F.flatten(F.transform(texts, lambda t: F.transform(matches(t, pattern, groups), lambda m: F.array(*[m[f"g{i}"] for i in range(groups + 1)]))))
-    return F.when(marked, one_by_one).otherwise(groups_of(texts, apart or pattern, groups, tidy))
+    return F.when(marked, one_by_one).otherwise(groups_of(texts, apart or pattern, groups))
 
 
 def _amounts_differ(texts: Column) -> Column:
@@ -226,18 +225,16 @@ def _sides_of_two_names(texts: Column, marked: Column) -> Column:
 
 def _reversed_days(texts: Column, marked: Column) -> Column:
     """The pairs of days of reversed_terms() of one contract's texts, repeats included, as one string each."""
+    day = lambda g, i: g[i].try_cast("int") * 10_000 + g[i + 1].try_cast("int") * 100 + g[i + 2].try_cast("int")
+    key = lambda g, i: date_key(g[i], g[i + 1], g[i + 2])
 
-    def doubtful(a: Column, b: Column) -> Column:
-        # Days of 11 signs and 17 bytes (never fewer) have two ASCII digits for month and day, no blanks, and sort as texts do.
-        return marked | (F.octet_length(a) + F.octet_length(b) != 34) | (F.length(a) + F.length(b) != 22) | (a > b)
-
-    def of(pattern: str, needs: str) -> Column:
-        there, apart = F.filter(texts, lambda t: F.contains(t, F.lit(needs))), pattern.replace(r"[^\n]", rf"[^\n{P.MARKS[2]}]")
-        found = _groups(there, marked, pattern, 2, apart, lambda x: F.regexp_replace(x, F.lit(P.LONE_DIGIT), F.lit("0$1")))
-        keys = F.transform(F.filter(found, lambda g: doubtful(g[1], g[2])), lambda g: F.struct(date_key_of(g[1]).alias("a"), date_key_of(g[2]).alias("b")))
+    def of(pattern: str, apart: str, needs: str) -> Column:
+        found = _groups(F.filter(texts, lambda t: F.contains(t, F.lit(needs))), marked, pattern, 6, apart)
+        doubtful = F.filter(found, lambda g: F.coalesce(day(g, 1) > day(g, 4), F.lit(True)))  # also digits that a cast does not know
+        keys = F.transform(doubtful, lambda g: F.struct(key(g, 1).alias("a"), key(g, 4).alias("b")))
         return F.transform(F.filter(keys, lambda k: k["a"] > k["b"]), lambda k: F.concat(k["a"], k["b"]))
 
-    return F.concat(*[of(pattern, needs) for pattern, needs in P.TERMS])
+    return F.concat(*[of(*term) for term in P.TERM_NUMBERS])
 
 
 def _unnamed_summary_days(texts: Column, whole: Column) -> Column:
